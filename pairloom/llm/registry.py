@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.catalog import gather
 
-MODULES = ("q_names",)
+MODULES = ("q_names", "q_addresses")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
