@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pairloom.llm.skeleton import skeleton_of
+from pairloom.llm.skeleton import fold
 from pairloom.session import bounded_rows, broadcast_within, cut_lineage
 
 #: Written forms of countries.
@@ -52,12 +51,6 @@ _GLUED = re.compile(r"^(.{3,}?)(strasse|str|platz|pl|weg|allee|gasse|g~)$")
 FIELDS = ("number", "street", "name", "region", "postcode", "country")
 
 
-def fold(text: str) -> str:
-    """Look-alikes, case, accents and spacing taken away."""
-    text = unicodedata.normalize("NFKD", skeleton_of(text).replace("º", "o").replace("ª", "a")).casefold()
-    return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
-
-
 def _postcode(text: str | None) -> str:
     code = re.sub(r"[^0-9a-z]", "", fold(text or ""))
     return code[:5] if code.isdigit() and len(code) == 9 else code
@@ -142,24 +135,24 @@ def parse_all(text: str | None) -> list[tuple[str, ...]]:
     return out
 
 
-def parsed_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str]) -> DataFrame:
+def parsed_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``df`` and address, with the parts of both sides: a_* from ``alt``, b_* from ``base``.
 
-    ``alt`` and ``base`` name the columns of place id and addresses.
+    ``alt`` and ``base`` name the columns of place id and addresses; the string columns ``keep`` are carried along.
     """
-    columns = ["a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in FIELDS]]
+    columns = [*keep, "a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in FIELDS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = ("",) * len(FIELDS)
         for batch in batches:
             rows = []
-            for a_id, a_text, b_id, b_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a_id, a_text, b_id, b_text, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, right = parse_all(a_text), parse_all(b_text)
                 for i in range(max(len(left), len(right))):
-                    rows.append((a_id, b_id, *(left[i] if i < len(left) else empty), *(right[i] if i < len(right) else empty)))
+                    rows.append((*others, a_id, b_id, *(left[i] if i < len(left) else empty), *(right[i] if i < len(right) else empty)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string()) for _ in columns], columns)
 
-    slim = df.select(*[F.col(c) for c in (*alt, *base)]).filter(F.col(alt[1]).isNotNull() | F.col(base[1]).isNotNull())
+    slim = df.select(*[F.col(c) for c in (*alt, *base, *keep)]).filter(F.col(alt[1]).isNotNull() | F.col(base[1]).isNotNull())
     return slim.mapInArrow(run, ", ".join(f"{c} string" for c in columns))
 
 
@@ -177,8 +170,8 @@ def _tail(street: str) -> Column:
 
 def with_towns(pairs: DataFrame, gazetteer_rows: int = 200_000) -> DataFrame:
     """Fill country and town of both sides from what the other parts of addresses say; adds a_town and b_town."""
-    sides = [pairs.select(*[F.col(f"{s}_{f}").alias(f) for f in FIELDS]) for s in "ab"]
-    every = sides[0].unionByName(sides[1]).filter(_given("country")).select("name", "region", "postcode", "country", _head("street").alias("head"), _tail("street").alias("tail"))
+    both = F.array(*[F.struct(*[F.col(f"{s}_{f}").alias(f) for f in FIELDS]) for s in "ab"])
+    every = pairs.select(F.explode(both).alias("part")).select("part.*").filter(_given("country")).select("name", "region", "postcode", "country", _head("street").alias("head"), _tail("street").alias("tail"))
     # every distinct mention once per count: the rows that maps are learnt from are far fewer than addresses
     mentions = cut_lineage(every.groupBy("name", "region", "postcode", "country", "head", "tail").agg(F.count(F.lit(1)).alias("m")))
 
@@ -357,9 +350,9 @@ def misspelt_streets(pairs: DataFrame, rare: int = 2, per_hundred: float = 1.0,
     return near.groupBy("town", "street").agg(F.max_by("right", F.struct(F.coalesce("k", F.lit(0)), F.coalesce("itself_right", F.lit(0)), "n_right", "right")).alias("right"))
 
 
-def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], max_rewrites: int = 100_000) -> DataFrame:
-    """(a_id, b_id, a_location, b_location) of every row and address of ``df``; a location is NULL if there is none."""
-    pairs = cut_lineage(with_towns(parsed_pairs(df, alt, base)).select("a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in ("number", "street", "town", "country")]))
+def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000) -> DataFrame:
+    """(keep, a_id, b_id, a_location, b_location) of every row and address of ``df``; without one, location is NULL."""
+    pairs = cut_lineage(with_towns(parsed_pairs(df, alt, base, keep)).select(*keep, "a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in ("number", "street", "town", "country")]))
     same = (F.col("a_town") == F.col("b_town")) & _given("a_town") & (F.col("a_number") == F.col("b_number")) & _given("a_number") & _given("a_street") & _given("b_street")
     evidence = cut_lineage(pairs.filter(same).groupBy(F.col("a_country").alias("country"), "a_street", "b_street").agg(F.count(F.lit(1)).alias("n")))
     rewrites = mine_rewrites(evidence, max_rewrites=max_rewrites)
@@ -374,7 +367,7 @@ def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], ma
         street = F.regexp_replace(F.coalesce("__right", f"{s}_street"), " ", "")
         whole = _given(f"{s}_town") & _given(f"{s}_street") & _given(f"{s}_number")
         pairs = pairs.withColumn(f"{s}_location", F.when(whole, F.concat_ws("/", f"{s}_town", f"{s}_number", street))).drop("__right")
-    return pairs.select("a_id", "b_id", "a_location", "b_location")
+    return pairs.select(*keep, "a_id", "b_id", "a_location", "b_location")
 
 
 def same_location(located: DataFrame) -> DataFrame:

@@ -89,6 +89,24 @@ def skeleton(c: Column) -> Column:
     return F.coalesce(F.pandas_udf(_skeletons, StringType())(F.when(odd, c)), c)
 
 
+def _folds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda text: None if text is None else fold(text))
+
+
+def fold(text: str) -> str:
+    """Look-alikes, case, accents and spacing taken away."""
+    text = unicodedata.normalize("NFKD", skeleton_of(text).replace("º", "o").replace("ª", "a")).casefold()
+    return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
+
+
+def folded_words(c: Column) -> Column:
+    """The words of a text without look-alikes, case, accents and punctuation, one space between them."""
+    odd = F.regexp_like(c, F.lit(r"[^\x20-\x7e]"))
+    plain = F.coalesce(F.pandas_udf(_folds, StringType())(F.when(odd, c)), F.lower(c))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+
+
 def main_name(c: Column) -> Column:
     """``primary``, else ``raw``, of a names column; unreadable JSON has none."""
     names = as_object(c, "primary:string,raw:string")
