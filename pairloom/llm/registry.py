@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.catalog import gather
 
-MODULES = ("q_names", "q_addresses", "q_overlap", "q_consensus", "q_fusion")
+MODULES = ("q_names", "q_addresses", "q_overlap", "q_consensus", "q_fusion", "q_tokens", "q_pii")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
