@@ -92,7 +92,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not m:
         return 0.0
     right = [ch for ch, t in zip(b, taken, strict=True) if t]
-    swapped = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):

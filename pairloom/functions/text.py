@@ -94,7 +94,7 @@ def first_item(c: Column) -> Column:
 def first_url(c: Column) -> Column:
     """First element of an array written as JSON, else the text itself."""
     text = stripped(F.coalesce(c, F.lit("")))
-    return F.when(text.startswith("["), F.coalesce(stripped(F.get_json_object(text, "$[0]")), text)).otherwise(text)
+    return F.when(text.startswith("["), F.coalesce(F.nullif(stripped(F.get_json_object(text, "$[0]")), F.lit("null")), text)).otherwise(text)
 
 
 def primary_lower(c: Column) -> Column:

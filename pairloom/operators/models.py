@@ -35,7 +35,8 @@ def logistic(l2: float = 0.01, weight: str | None = None) -> LogisticRegression:
 
 def boosted(depth: int = 1, rounds: int = 50, rate: float = 0.1, subsample: float = 0.8, seed: int = 42) -> GBTClassifier:
     """Boosted trees; stumps at depth 1."""
-    return GBTClassifier(featuresCol="_features", labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=subsample, seed=seed, probabilityCol="_proba", predictionCol="_pred", rawPredictionCol="_score")
+    made = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pred", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=subsample, seed=seed)
+    return made.setProbabilityCol("_proba").setRawPredictionCol("_score")
 
 
 def forest(trees: int = 100, depth: int = 8, weight: str | None = None, seed: int = 42) -> RandomForestClassifier:
@@ -51,7 +52,8 @@ def stump() -> DecisionTreeClassifier:
 
 def one_vs_rest(rounds: int = 30, depth: int = 3) -> OneVsRest:
     """Boosted trees for several classes."""
-    return OneVsRest(classifier=GBTClassifier(featuresCol="_features", labelCol="_label", maxDepth=depth, maxIter=rounds), featuresCol="_features", labelCol="_label", predictionCol="_pred", rawPredictionCol="_score")
+    inner = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pred", maxDepth=depth, maxIter=rounds).setRawPredictionCol("_score")
+    return OneVsRest(classifier=inner, featuresCol="_features", labelCol="_label", predictionCol="_pred", rawPredictionCol="_score")
 
 
 def fit(df: DataFrame, features: list[str], label: Column, classes: tuple[str, ...], classifier: object, scale: bool = False) -> PipelineModel:

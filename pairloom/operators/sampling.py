@@ -109,7 +109,7 @@ def synthetic_labels(golden: DataFrame, seed: int = 42, n_none: int | None = 70,
     chosen = F.slice(F.array_sort(F.array(*[F.struct(seeded(seed + i, "id").alias("h"), F.lit(a).alias("a")) for i, a in enumerate(ATTRIBUTES)])), 1, 3)
     for a in ATTRIBUTES:
         w = f"attr_{a}_winner"
-        cells[w] = F.when((F.col("_to") == "base") & F.exists(chosen, lambda s, a=a: s["a"] == a), "base").when(F.col("_to") == "alt", "alt").otherwise(F.col(w))
+        cells[w] = F.when((F.col("_to") == "base") & F.array_contains(F.transform(chosen, lambda s: s["a"]), a), "base").when(F.col("_to") == "alt", "alt").otherwise(F.col(w))
     rows = rows.withColumns(cells)
     if none_share is not None:
         nothing = F.pmod(seeded(seed + 99, "id"), F.lit(10_000)) < int(none_share * 10_000)

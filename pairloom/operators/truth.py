@@ -33,32 +33,41 @@ def comparable(attribute: str, c: Column) -> Column:
     return tx.stripped(F.lower(_text(c)))
 
 
-def compare(attribute: str, real: Column, base: Column, alt: Column) -> Column:
-    """(winner, value): which side the real value speaks for.
+def compared(df: DataFrame, real: dict[str, Column], base: dict[str, Column], alt: dict[str, Column]) -> DataFrame:
+    """``df`` with _{attribute}_winner and _{attribute}_value: which side the real value speaks for.
 
     Without a real value base wins unless both sides agree or only alt has a value; with nothing anywhere alt wins an
     empty value. A real value that neither side has wins itself. Websites match exactly or nearly, phones exactly,
-    categories and addresses nearly.
+    categories and addresses nearly. Done in steps, so that each form and each kernel is worked out once.
     """
-    r, b, a = (comparable(attribute, c) for c in (real, base, alt))
-    text_b, text_a = _text(base), _text(alt)
-    either = F.when(text_b != "", text_b).otherwise(text_a)
-    if attribute in ("phone", "web"):
-        nothing = F.when(b != "", b).otherwise(a)
-    else:
-        nothing = either
-    sides = F.when((b != "") & (a != "") & (b == a), "both").when(b != "", "base").otherwise("alt")
-    if attribute == "phone":
-        is_b, is_a = r == b, r == a
-    elif attribute == "web":
-        exact = (r == b) | (r == a)
-        is_b = F.when(exact, r == b).otherwise(fuzzy_match(F.when(~exact, r), F.when(~exact, b)))
-        is_a = F.when(exact, r == a).otherwise(fuzzy_match(F.when(~exact, r), F.when(~exact, a)))
-    else:
-        is_b, is_a = fuzzy_match(r, b), fuzzy_match(r, a)
-    winner = F.when(r == "", sides).when(is_b & is_a, "both").when(is_b, "base").when(is_a, "alt").otherwise("real")
-    value = F.when(r == "", nothing).when(winner == "both", either).when(winner == "base", text_b).when(winner == "alt", text_a).otherwise(_text(real))
-    return F.struct(winner.alias("winner"), value.alias("value"))
+    kept = df.columns
+    sides = {"r": real, "b": base, "a": alt}
+    df = df.withColumns({f"_{a}_text_{x}": _text(c[a]) for a in real for x, c in sides.items()})
+    df = df.withColumns({f"_{a}_{x}": comparable(a, F.col(f"_{a}_text_{x}")) for a in real for x in sides})
+    hits: dict[str, Column] = {}
+    for attribute in real:
+        r = F.col(f"_{attribute}_r")
+        for x in ("b", "a"):
+            side = F.col(f"_{attribute}_{x}")
+            if attribute == "phone":
+                hits[f"_{attribute}_is_{x}"] = r == side
+            else:
+                near = fuzzy_match(F.when(r != "", r), F.when(r != "", side))
+                exact = (r == F.col(f"_{attribute}_b")) | (r == F.col(f"_{attribute}_a"))
+                hits[f"_{attribute}_is_{x}"] = F.when(exact, r == side).otherwise(near) if attribute == "web" else near
+    df = df.withColumns(hits)
+    winners, values = {}, {}
+    for a in real:
+        r, b, alt_form, tr_, tb, ta = (F.col(f"_{a}_{x}") for x in ("r", "b", "a", "text_r", "text_b", "text_a"))
+        without = F.when((b != "") & (b == alt_form), "both").when(b != "", "base").otherwise("alt")
+        is_b, is_a = F.col(f"_{a}_is_b"), F.col(f"_{a}_is_a")
+        winners[f"_{a}_winner"] = F.when(r == "", without).when(is_b & is_a, "both").when(is_b, "base").when(is_a, "alt").otherwise("real")
+        either = F.when(tb != "", tb).otherwise(ta)
+        nothing = F.when(b != "", b).otherwise(alt_form) if a in ("phone", "web") else either
+        w = F.col(f"_{a}_winner")
+        values[f"_{a}_value"] = F.when(r == "", nothing).when(w == "both", either).when(w == "base", tb).when(w == "alt", ta).otherwise(tr_)
+    df = df.withColumns(winners).withColumns(values)
+    return df.select(*[F.col(f"`{c}`") for c in kept], *[f"_{a}_{x}" for a in real for x in ("winner", "value", "r")])
 
 
 def side_value(df: DataFrame, attribute: str, base: bool) -> Column:
@@ -77,18 +86,18 @@ def compare_rows(df: DataFrame, real: dict[str, Column], source: str, allow_fall
 
     Without ``allow_fallback`` an attribute without a real value is no_data.
     """
-    told = {f"_{a}": compare(a, real[a], side_value(df, a, True), side_value(df, a, False)) for a in TRUTH_ATTRIBUTES}
+    sides = [{a: side_value(df, a, base) for a in TRUTH_ATTRIBUTES} for base in (True, False)]
+    rows = compared(df, real, *sides)
     cells: dict[str, Column] = {}
-    rows = df.withColumns(told)
     for a in TRUTH_ATTRIBUTES:
-        winner, value = F.col(f"_{a}.winner"), F.col(f"_{a}.value")
+        winner, value = F.col(f"_{a}_winner"), F.col(f"_{a}_value")
         if not allow_fallback:
-            lacking = comparable(a, real[a]) == ""
+            lacking = F.col(f"_{a}_r") == ""
             winner, value = F.when(lacking, "no_data").otherwise(winner), F.when(lacking, "").otherwise(value)
         cells |= {f"truth_{a}_winner": winner, f"truth_{a}_value": value}
     rows = rows.withColumns(cells)
     rows = rows.withColumns({f"truth_{a}_value_norm": comparable(a, F.col(f"truth_{a}_value")) for a in TRUTH_ATTRIBUTES} | {"truth_source": F.lit(source)})
-    return rows.drop(*told)
+    return rows.drop(*[f"_{a}_{x}" for a in TRUTH_ATTRIBUTES for x in ("winner", "value", "r")])
 
 
 def rule_based_truth(df: DataFrame, prefer_alt: bool = True) -> DataFrame:
