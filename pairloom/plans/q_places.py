@@ -22,7 +22,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
     """One UTC instant for each entry that has one, however it was written."""
     found = source_instants(table(spark, folder, "project_a_samples"), table(spark, folder, "feed_zones"), SIDES)
-    return found.withColumn("instant", F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    # a timestamp without zone, so that the session's own zone has no part in it
+    at = F.expr("cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(epoch_us AS decimal(18, 0)) / 1000000) AS string)")
+    return found.withColumn("instant", F.concat(F.replace(at, F.lit(" "), F.lit("T")), F.lit("Z")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
