@@ -105,10 +105,18 @@ QUERIES = {
     "attribute_models": attribute_models,
 }
 
+_PAIR = ("id", "sources", "names", "categories", "confidence", "websites", "socials", "emails", "phones", "brand", "addresses")
+_PHASE1 = [p + c for p in ("", "base_") for c in _PAIR] + [f"norm_{s}_{x}" for x in ("addr", "phone", "website") for s in ("conflated", "base")] + SCORES
+_WINNER = "lower(regexp_replace(attr_address_winner, '^\\s+|\\s+$', '', 'g'))"
+_YES = f"(CASE WHEN {_WINNER} IN ('base','b','both','t') THEN 1 ELSE 0 END)"
+_CELLS = "SELECT truth_3class AS a3, truth_4class AS a4, slm_3class AS b3, slm_4class AS b4, id FROM incorrect_predictions"
 _PLAIN_LABEL = "lower(regexp_replace(CAST({0} AS VARCHAR), '^\\s+|\\s+$', '', 'g'))"
 _SIDE = "CASE WHEN trim(coalesce({0}, '')) <> '' THEN 1 ELSE 0 END"
 
 ORACLES = {
+    "null_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, round(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100.0 / count(*), 6) AS pct_null FROM phase1_processed" for c in _PHASE1),
+    "correlations": " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, y), 6) AS correlation, round(avg(CASE WHEN y = 1 THEN {c} END), 6) AS mean_1, round(avg(CASE WHEN y = 0 THEN {c} END), 6) AS mean_0 FROM (SELECT *, {_YES} AS y FROM phase3_slm_labeled)" for c in SCORES),
+    "differing_winners": " UNION ALL ".join(f"SELECT '{n}' AS \"column\", CAST(sum(CASE WHEN a.x IS NOT DISTINCT FROM b.x THEN 0 ELSE 1 END) AS BIGINT) AS n FROM (SELECT DISTINCT id, a3, a4, a{k} AS x FROM ({_CELLS})) a JOIN (SELECT DISTINCT id, b3, b4, b{k} AS x FROM ({_CELLS})) b USING (id)" for n, k in (("three", 3), ("four", 4))),
     "row_count": "SELECT CAST(count(*) AS BIGINT) AS n FROM project_a_samples",
     "confidence_histogram": "SELECT CAST(round(CAST(confidence AS DECIMAL(18, 6)), 2) AS DOUBLE) AS value, CAST(count(*) AS BIGINT) AS n FROM project_a_samples WHERE confidence IS NOT NULL GROUP BY 1",
     "confidence_top10": "SELECT CAST(round(CAST(confidence AS DECIMAL(18, 6)), 2) AS DOUBLE) AS value, CAST(count(*) AS BIGINT) AS n FROM project_a_samples WHERE confidence IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
