@@ -243,12 +243,12 @@ def best_paths(score: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Best tags [B, T] of scores [B, T, K] that stand between outside tags, with the forbidden orders left out."""
     b, t, _ = score.shape
     order = np.where(allowed(), order, -1e9)
-    first = order[0]
+    first, turned = order[0], np.ascontiguousarray(order.T)[None]
     at, back = score[:, 0] + first, np.zeros((b, t, K), np.int8)
     for i in range(1, t):
-        total = at[:, :, None] + order
-        back[:, i] = total.argmax(1)
-        at = np.take_along_axis(total, back[:, i][:, None, :].astype(int), 1)[:, 0] + score[:, i]
+        total = at[:, None, :] + turned
+        back[:, i] = total.argmax(2)
+        at = total.max(2) + score[:, i]
     out = np.zeros((b, t), int)
     out[:, -1] = (at + order[:, 0]).argmax(1)
     for i in range(t - 1, 0, -1):
@@ -259,12 +259,15 @@ def best_paths(score: np.ndarray, order: np.ndarray) -> np.ndarray:
 #: Window lengths; text longer than the last is read in windows of it that overlap by twice the margin.
 WINDOWS, MARGIN, BATCH = (64, 128, 192, 256), 48, 512
 
+#: Characters whose paths are sought side by side.
+PATH_CELLS = 400_000
+
 
 def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans (type, start, end) of every text, in code points.
 
     Each position takes its scores from the window in which it lies farthest from an edge; then one best path is found
-    for the whole text. Stretches whose outside tag leads by more than any order can turn are fixed beforehand.
+    for the whole text.
     """
     coded = [codes(t) for t in texts]
     jobs: dict[int, list[tuple[int, int, int, int]]] = {w: [] for w in WINDOWS}
@@ -294,30 +297,21 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]
             found = model.scores(symbols, classes)
             for j, (k, start, a, z) in enumerate(part):
                 scores[k][a:z] = found[a - start : z - start, j]
-    order = model.p["order"]
-    lead = 2 * float(np.abs(order).max()) + 2
-    runs: list[tuple[int, int, int]] = []
-    for k, score in enumerate(scores):
-        unsure = score[:, 0] - score[:, 1:].max(1) < lead if len(score) else np.zeros(0, bool)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], unsure.astype(np.int8), [0]))))
-        runs += [(k, int(a), int(z)) for a, z in edge.reshape(-1, 2)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    runs.sort(key=lambda r: r[2] - r[1])
-    i = 0
-    while i < len(runs):
-        length = runs[i][2] - runs[i][1]
-        j = i
-        while j < len(runs) and runs[j][2] - runs[j][1] == length and j - i < 4096:
-            j += 1
-        tags = best_paths(np.stack([scores[k][a:z] for k, a, z in runs[i:j]]), order)
-        for (k, a, _), path in zip(runs[i:j], tags, strict=True):
-            start = None
-            for q, tag in enumerate([*path, 0]):
-                name = TAGS[tag]
-                if start is not None and (name[0] != "I"):
-                    out[k].append((TAGS[path[start]][2:], a + start, a + q))
-                    start = None
-                if name[0] == "B":
-                    start = q
-        i = j
+    todo = sorted((k for k in range(len(texts)) if len(scores[k])), key=lambda k: len(scores[k]))
+    while todo:  # texts of like length side by side; what is filled up is outside
+        longest = len(scores[todo[-1]])
+        n = max(1, min(len(todo), PATH_CELLS // longest))
+        part, todo = todo[-n:], todo[:-n]
+        table = np.zeros((n, longest, K), np.float32)
+        table[:, :, 0] = 100
+        for j, k in enumerate(part):
+            table[j, : len(scores[k])] = scores[k]
+        tags = best_paths(table, model.p["order"])
+        starts = [x[0] == "B" for x in TAGS]
+        for j, at in zip(*np.nonzero(np.array(starts)[tags]), strict=True):
+            kind, end = TAGS[tags[j, at]][2:], at + 1
+            while end < longest and tags[j, end] == tags[j, at] + 1:
+                end += 1
+            out[part[j]].append((kind, int(at), int(end)))
     return [sorted(x, key=lambda s: s[1]) for x in out]
