@@ -350,9 +350,13 @@ def misspelt_streets(pairs: DataFrame, rare: int = 2, per_hundred: float = 1.0,
     return near.groupBy("town", "street").agg(F.max_by("right", F.struct(F.coalesce("k", F.lit(0)), F.coalesce("itself_right", F.lit(0)), "n_right", "right")).alias("right"))
 
 
-def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000) -> DataFrame:
-    """(keep, a_id, b_id, a_location, b_location) of every row and address of ``df``; without one, location is NULL."""
-    pairs = cut_lineage(with_towns(parsed_pairs(df, alt, base, keep)).select(*keep, "a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in ("number", "street", "town", "country")]))
+def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000, rest: bool = False) -> DataFrame:
+    """(keep, a_id, b_id, a_location, b_location) of every row and address of ``df``; without one, location is NULL.
+
+    With ``rest`` also a_rest: all that an alt address without location says; NULL if that is nothing.
+    """
+    more = ["a_region", "a_postcode"] if rest else []
+    pairs = cut_lineage(with_towns(parsed_pairs(df, alt, base, keep)).select(*keep, "a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in ("number", "street", "town", "country")], *more))
     same = (F.col("a_town") == F.col("b_town")) & _given("a_town") & (F.col("a_number") == F.col("b_number")) & _given("a_number") & _given("a_street") & _given("b_street")
     evidence = cut_lineage(pairs.filter(same).groupBy(F.col("a_country").alias("country"), "a_street", "b_street").agg(F.count(F.lit(1)).alias("n")))
     rewrites = mine_rewrites(evidence, max_rewrites=max_rewrites)
@@ -367,7 +371,9 @@ def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], ke
         street = F.regexp_replace(F.coalesce("__right", f"{s}_street"), " ", "")
         whole = _given(f"{s}_town") & _given(f"{s}_street") & _given(f"{s}_number")
         pairs = pairs.withColumn(f"{s}_location", F.when(whole, F.concat_ws("/", f"{s}_town", f"{s}_number", street))).drop("__right")
-    return pairs.select(*keep, "a_id", "b_id", "a_location", "b_location")
+    said = [F.col(f"a_{f}") for f in ("town", "number", "street", "region", "postcode", "country")] if rest else []
+    left = [F.when(F.col("a_location").isNull() & (F.concat(*said) != ""), F.concat_ws("/", *said)).alias("a_rest")] if rest else []
+    return pairs.select(*keep, "a_id", "b_id", "a_location", "b_location", *left)
 
 
 def same_location(located: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.jsonx import as_objects, unwrap_json
+from pairloom.functions.text import website
 from pairloom.functions.timestamps import with_instants
+from pairloom.llm.addresses import located_pairs
 from pairloom.llm.consensus import winner
 from pairloom.session import bounded_rows, broadcast_within, cut_lineage
 
@@ -36,6 +38,9 @@ FIELDS = ("phones", "websites", "addresses")
 #: Golden column that tells on a field; there is none for websites.
 GOLDEN = {"phones": "attr_phone_winner", "addresses": "attr_address_winner"}
 
+#: Calling codes of one or two digits; all others have three.
+CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 #: Order of missing instants and confidences.
 NO_INSTANT, NO_CONFIDENCE = -(2**62), -1e300
 
@@ -50,20 +55,43 @@ def remaining_text(text: Column) -> Column:
     return F.nullif(left, F.lit(""))
 
 
-def _longest_word(c: Column) -> Column:
-    return F.aggregate(F.split(c, r"[^a-z]+"), F.lit(""), lambda best, w: F.when(F.length(w) >= F.length(best), w).otherwise(best))
+def _phone(c: Column) -> Column:
+    """The national digits of a number, whether or not its calling code and trunk zero are written."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"\(0\)", ""), r"[^\d+]", "")
+    plain = F.regexp_replace(plain, rf"^(?:\+|00)(?:{CALLING_CODES})(?=\d{{4}})|^1(?=\d{{10}}$)", "")
+    return F.regexp_replace(plain, r"^[0+]+|\+", "")
+
+
+def _site(c: Column) -> Column:
+    """Host and path of a URL, without marks of where a visitor comes from."""
+    return website(F.regexp_replace(c, r"(?i)#.*$|[?&](?:ref|utm_\w+|gclid|fbclid)=[^&#]*", ""))
 
 
 def value_key(field: str, text: Column) -> Column:
-    """A number that is equal for values that say the same, whatever their writing."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüß", "aaaaaaceeeeiiiinooooouuuus")
-    if field == "phones":
-        plain = F.right(F.regexp_replace(text, r"\D", ""), F.lit(8))
-    elif field == "websites":
-        plain = F.regexp_extract(plain, r"(?:https?\W+)?(?:www\.)?([^/\s?#]+)", 1)
-    else:
-        plain = F.concat_ws("|", F.regexp_extract(plain, r"\b(\d{1,4})\b", 1), _longest_word(plain))
-    return F.xxhash64(plain)
+    """A number that is equal for values (opened JSON or plain text) that say the same, whatever their writing.
+
+    All phones and all websites of a value count, in any order. Addresses are told apart as written; see ``place_keys``.
+    """
+    if field == "addresses":
+        return F.xxhash64(F.lower(text))
+    items = F.coalesce(F.from_json(text, "array<string>"), F.split(text, "[,;]"))
+    normal = F.transform(items, _phone if field == "phones" else _site)
+    normal = F.array_sort(F.array_distinct(F.filter(normal, lambda x: x != "")))
+    # bound by a lambda, so that JSON is read once
+    return F.get(F.transform(F.array(normal), lambda n: F.xxhash64(n, F.when(F.size(n) == 0, F.lower(text)))), F.lit(0))
+
+
+def place_keys(df: DataFrame) -> DataFrame:
+    """(base_id, id, place): a number that is equal for addresses of one location, whatever their writing.
+
+    All addresses of a value count, in any order: town, number and street after the rewrites and misspellings mined
+    from both sides of all rows, and of an address without location all its parts.
+    """
+    if "base_addresses" not in df.columns:
+        df = df.withColumn("base_addresses", F.lit(None).cast("string"))
+    located = located_pairs(df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull()), ("id", "addresses"), ("base_id", "base_addresses"), rest=True)
+    said = located.select(F.col("b_id").alias("base_id"), F.col("a_id").alias("id"), F.coalesce("a_location", "a_rest").alias("said")).filter(F.col("said").isNotNull())
+    return said.groupBy("base_id", "id").agg(F.xxhash64(F.array_sort(F.collect_set("said"))).alias("place"))
 
 
 def duplicates(df: DataFrame, feeds: DataFrame, golden: DataFrame) -> DataFrame:
@@ -74,8 +102,7 @@ def duplicates(df: DataFrame, feeds: DataFrame, golden: DataFrame) -> DataFrame:
     rows = df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull())
     confidence = F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(NO_CONFIDENCE))
     rows = rows.select("base_id", "id", confidence.alias("confidence"), "sources", *[unwrap_json(F.col(f)).alias(f) for f in FIELDS])
-    rows = rows.select("base_id", "id", "confidence", "sources", *[remaining_text(F.col(f)).alias(f) for f in FIELDS])
-    keys = [F.when(F.col(f).isNotNull(), value_key(f, F.col(f))).alias(f"k_{f}") for f in FIELDS]
+    keys = [F.when(remaining_text(F.col(f)).isNotNull(), value_key(f, F.col(f))).alias(f"k_{f}") for f in FIELDS]
     # keys are made before entries are exploded, once per row
     rows = rows.select("base_id", "id", "confidence", *keys, as_objects(F.col("sources"), "dataset:string,update_time:string,property:string").alias("entries"))
     rows = rows.select("base_id", "id", "confidence", *[f"k_{f}" for f in FIELDS], F.explode_outer("entries").alias("entry"))
@@ -86,6 +113,7 @@ def duplicates(df: DataFrame, feeds: DataFrame, golden: DataFrame) -> DataFrame:
         F.coalesce(F.max("instant"), F.lit(NO_INSTANT)).alias("instant"), F.max("confidence").alias("confidence"), *[F.max(f"k_{f}").alias(f"k_{f}") for f in FIELDS],
         *[F.array_sort(F.collect_set(F.when(speaks[f], F.col("source")))).alias(f"v_{f}") for f in FIELDS],
     )
+    one = one.join(place_keys(df), ["base_id", "id"], "left").withColumn("k_addresses", F.when(F.col("k_addresses").isNotNull(), F.coalesce("place", "k_addresses"))).drop("place")
     told = golden.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("golden_id")).agg(*[F.coalesce(F.max(winner(F.col(c)).isin("base", "none")), F.lit(False)).alias(f"not_{f}") for f, c in GOLDEN.items()])
     one = one.join(told, one["id"] == told["golden_id"], "left")
     out = {f: F.when(F.col(f"k_{f}").isNotNull() & ~F.coalesce(F.col(f"not_{f}"), F.lit(False)) if f in GOLDEN else F.col(f"k_{f}").isNotNull(), F.struct(F.col(f"k_{f}").alias("key"), F.col(f"v_{f}").alias("voters"))) for f in FIELDS}

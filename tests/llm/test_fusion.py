@@ -85,3 +85,17 @@ def test_empty_and_posteriors(spark):
     assert survivors(dups).count() == 0
     model = Sources({"a": 0.9}, {})
     assert abs(sum(model.posteriors([(("a",), 1), ((), 10)][:1])) - 0.9) < 1e-9
+
+
+def test_values_that_say_the_same(spark):
+    at = lambda freeform, town="Upton": json.dumps([{"freeform": freeform, "locality": town, "postcode": "AB1 2CD", "country": "GB"}])
+    rows = [
+        ("p1", '["+49 (0)302/3125455"]', '["https://www.a.example/x/?ref=map"]', at("12345 Harenpl")), ("p2", '["0302 312 5455"]', '["HTTP://a.example/x"]', at("12345 Harenpl", None)),
+        ("p3", '["+49 312 312 5455"]', '["http://a.example/y"]', at("12345 Wexweg")), ("p4", '["+1 613 555 0138","+49 302 312 5455"]', '["a.example/x","b.example"]', at("22345 Harenpl")),
+        ("p5", '["0049-302-3125455","001-613-5550138"]', '["b.example","a.example/x"]', '["sometime"]'),
+    ]
+    rows = [("b", i, 0.5, None, p, w, a, a) for i, p, w, a in rows] + [(f"c{n}", f"q{n}", 0.5, None, None, None, at("1 Harenpl"), at("1 Harenpl")) for n in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("extra", "base_addresses"))
+    got = {r.id: r for r in duplicates(df, feeds(spark), golden(spark)).collect()}
+    classes = lambda f: [[got[f"p{i}"][f].key for i in range(1, 6)].index(got[f"p{k}"][f].key) + 1 for k in range(1, 6)]
+    assert classes("phones") == [1, 1, 3, 4, 4] and classes("websites") == [1, 1, 3, 4, 4] and classes("addresses") == [1, 1, 3, 4, 5]
