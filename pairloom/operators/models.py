@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.labels import label_2class, label_3class, label_4class
 from pairloom.schemas import ATTRIBUTES, FOUR_CLASSES
+from pairloom.session import use_shared_checkpoints
 
 
 def numeric(df: DataFrame, features: list[str]) -> DataFrame:
@@ -50,18 +51,32 @@ def stump() -> DecisionTreeClassifier:
     return DecisionTreeClassifier(featuresCol="_features", labelCol="_label", maxDepth=1, probabilityCol="_proba", predictionCol="_pred", rawPredictionCol="_score")
 
 
-def one_vs_rest(rounds: int = 30, depth: int = 3) -> OneVsRest:
+def one_vs_rest(rounds: int = 30, depth: int = 3, rate: float = 0.1, subsample: float = 1.0, seed: int = 42) -> OneVsRest:
     """Boosted trees for several classes."""
-    inner = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pred", maxDepth=depth, maxIter=rounds).setRawPredictionCol("_score")
+    inner = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_pred", maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=subsample, seed=seed).setRawPredictionCol("_score")
     return OneVsRest(classifier=inner, featuresCol="_features", labelCol="_label", predictionCol="_pred", rawPredictionCol="_score")
 
 
-def fit(df: DataFrame, features: list[str], label: Column, classes: tuple[str, ...], classifier: object, scale: bool = False) -> PipelineModel:
-    """Train on the rows whose label is one of ``classes``."""
+def balanced(rows: DataFrame, classes: tuple[str, ...], cap: float | None = None) -> dict[str, float]:
+    """Weight of each class that makes all weigh the same in ``rows`` (column _label), at most ``cap``."""
+    counts = {classes[int(r["_label"])]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    made = {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
+    return {c: min(w, cap) if cap else w for c, w in made.items()}
+
+
+def fit(df: DataFrame, features: list[str], label: Column, classes: tuple[str, ...], classifier: object, scale: bool = False, weights: dict[str, float] | str | None = None, cap: float | None = None) -> PipelineModel:
+    """Train on the rows whose label is one of ``classes``; ``weights`` by class, or "balanced" with at most ``cap``."""
     index = F.lit(None).cast("double")
     for i, c in enumerate(classes):
         index = F.when(label == c, float(i)).otherwise(index)
     rows = numeric(df, features).withColumn("_label", index).filter(F.col("_label").isNotNull())
+    if weights is not None:
+        told = balanced(rows, classes, cap) if weights == "balanced" else weights
+        weight = F.lit(1.0)
+        for i, c in enumerate(classes):
+            weight = F.when(F.col("_label") == i, F.lit(float(told.get(c, 1.0)))).otherwise(weight)
+        rows, classifier = rows.withColumn("_weight", weight), classifier.copy().setWeightCol("_weight")
+    use_shared_checkpoints(df.sparkSession)  # boosting cuts its lineage there
     return _pipeline(features, classifier, scale).fit(rows)
 
 
@@ -145,4 +160,4 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, (float(v) for v in values), strict=True), key=lambda x: (-abs(x[1]), x[0]))
 
 
-__all__ = ["aggregate_attributes", "blend", "boosted", "fit", "fit_per_attribute", "forest", "importances", "logistic", "nearest_neighbours", "numeric", "one_vs_rest", "predict", "predict_per_attribute", "stump"]
+__all__ = ["aggregate_attributes", "balanced", "blend", "boosted", "fit", "fit_per_attribute", "forest", "importances", "logistic", "nearest_neighbours", "numeric", "one_vs_rest", "predict", "predict_per_attribute", "stump"]

@@ -16,7 +16,11 @@ from pairloom.sources.tables import table
 
 AS_OF = "2026-01-01"
 SCORES = ["addr_similarity_ratio", "addr_token_sort", "phone_similarity", "website_similarity"]
-FEATURES = [c for c in fe.MODEL_FEATURES if "valid" not in c]
+FEATURES = list(fe.MODEL_FEATURES)
+
+#: Sizes and weights of the reference's models, where it searches a grid one point of that grid.
+BOOSTED, FOREST, ATTRIBUTE_FOREST, REST = {"rounds": 150, "rate": 0.05}, {"trees": 200, "depth": 12}, {"trees": 160, "depth": 4}, {"rounds": 100, "depth": 3, "subsample": 0.8}
+REFINER_WEIGHTS, MOST_WEIGHT = {"alt": 1.5, "base": 1.5, "both": 1.0}, 10.0
 
 
 def _t(name: str):  # noqa: ANN202
@@ -43,16 +47,16 @@ def correlations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, folder: str) -> DataFrame:
-    return fe.engineer_features(p3(spark, folder), AS_OF)
+    return fe.engineer_features(p3(spark, folder), AS_OF, validate_phones=True)
 
 
 def _test(spark: SparkSession, folder: str) -> DataFrame:
-    return fe.engineer_features(golden(spark, folder), AS_OF)
+    return fe.engineer_features(golden(spark, folder), AS_OF, validate_phones=True)
 
 
-def _fitted(classifier, classes: tuple[str, ...], label, scale: bool = False):  # noqa: ANN001, ANN202
+def _fitted(classifier, classes: tuple[str, ...], label, scale: bool = False, **weights):  # noqa: ANN001, ANN003, ANN202
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        model = mo.fit(_training(spark, folder), FEATURES, label(), classes, classifier(), scale)
+        model = mo.fit(_training(spark, folder), FEATURES, label(), classes, classifier(), scale, **weights)
         done = mo.predict(model, _test(spark, folder), FEATURES, classes, "model")
         return done.select("id", *[c for c in done.columns if c.startswith("model_")])
 
@@ -61,7 +65,7 @@ def _fitted(classifier, classes: tuple[str, ...], label, scale: bool = False):
 
 def attribute_models(spark: SparkSession, folder: str) -> DataFrame:
     """Winners of all attributes by one model each, and the record labels that follow."""
-    models = mo.fit_per_attribute(_training(spark, folder), FEATURES, lambda: mo.forest(trees=10, depth=4))
+    models = mo.fit_per_attribute(_training(spark, folder), FEATURES, lambda: mo.forest(**ATTRIBUTE_FOREST))
     done = mo.predict_per_attribute(models, _test(spark, folder), FEATURES)
     return done.select("id", *[c for c in done.columns if c.endswith("_model")])
 
@@ -100,8 +104,8 @@ QUERIES = {
     "first_per_base": lambda s, d: sa.first_per_key(raw(s, d).filter("base_id IS NOT NULL").select("base_id", "id"), ["base_id"], ["id"]), "first_pairs": lambda s, d: sa.first_rows(raw(s, d).select("id", "base_id").distinct(), ["id", "base_id"], 20),
     "hard_cases": lambda s, d: sa.hard_cases(p1(s, d)).select("id", F.round("addr_similarity_ratio", 6).alias("score")), "hard_negatives": lambda s, d: sa.hard_negatives(raw(s, d)), "random_negatives": lambda s, d: sa.random_negatives(raw(s, d)),
     "stratified_folds": folds, "hash_split": lambda s, d: sa.hash_split(p3(s, d).select("id"), "id"), "sampled_pairs": lambda s, d: sa.sample_rows(raw(s, d).select("id", "base_id").distinct(), "id", 100), "synthetic_labels": synthetic,
-    "nearest_labels": neighbours, "logistic_scores": _fitted(mo.logistic, ("base", "alt"), lb.label_2class, True), "stump_scores": _fitted(mo.stump, ("base", "alt"), lb.label_2class), "boosted_scores": _fitted(lambda: mo.boosted(rounds=10), ("base", "alt"), lb.label_2class),
-    "forest_scores": _fitted(lambda: mo.forest(trees=20, depth=5), ("base", "alt"), lb.label_2class), "refiner_scores": _fitted(lambda: mo.forest(trees=20, depth=5), REFINER_CLASSES, lb.label_3class), "four_class_scores": _fitted(lambda: mo.one_vs_rest(rounds=3, depth=2), FOUR_CLASSES, lb.label_4class),
+    "nearest_labels": neighbours, "logistic_scores": _fitted(mo.logistic, ("base", "alt"), lb.label_2class, True), "stump_scores": _fitted(mo.stump, ("base", "alt"), lb.label_2class), "boosted_scores": _fitted(lambda: mo.boosted(**BOOSTED), ("base", "alt"), lb.label_2class),
+    "forest_scores": _fitted(lambda: mo.forest(**FOREST), ("base", "alt"), lb.label_2class, weights="balanced"), "refiner_scores": _fitted(lambda: mo.forest(**FOREST), REFINER_CLASSES, lb.label_3class, weights=REFINER_WEIGHTS), "four_class_scores": _fitted(lambda: mo.one_vs_rest(**REST), FOUR_CLASSES, lb.label_4class, weights="balanced", cap=MOST_WEIGHT),
     "attribute_models": attribute_models,
 }
 

@@ -112,6 +112,17 @@ def test_models_and_scorer(spark, raw, features, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 24
 
 
+def test_model_queries_are_whole(spark):
+    from pairloom.plans import q_tables as q
+
+    assert tuple(q.FEATURES) == fe.MODEL_FEATURES and q.FOREST == {"trees": 200, "depth": 12} and q.BOOSTED == {"rounds": 150, "rate": 0.05}
+    df = spark.createDataFrame([(0.0, "base")] * 30 + [(0.0, "alt")] * 10 + [(1.0, "alt")] * 5, "x double, y string")
+    rows = df.withColumn("_label", F.when(F.col("y") == "alt", 1.0).otherwise(0.0))
+    assert mo.balanced(rows, ("base", "alt")) == {"base": 45 / 60, "alt": 45 / 30} and mo.balanced(rows, ("base", "alt"), 1.0)["alt"] == 1.0
+    at = lambda weights: mo.predict(mo.fit(df, ["x"], F.col("y"), ("base", "alt"), mo.stump(), weights=weights), df.limit(1), ["x"], ("base", "alt"), "m").first()["m_proba_alt"]
+    assert abs(at(None) - 0.25) < 1e-9 and abs(at({"alt": 3.0}) - 0.5) < 1e-9 and abs(at("balanced") - 0.4) < 1e-9
+
+
 def test_neighbours_against_brute_force(spark):
     import numpy as np
 
