@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pairloom.functions.text import STREET_WORDS
 from pairloom.llm.skeleton import fold
 from pairloom.session import bounded_rows, broadcast_within, cut_lineage
 
@@ -48,6 +49,9 @@ _NUMBER = re.compile(r"(?<![\w-])(\d{1,5})(?:\s*-?\s*([a-z])(?![\w'./])|\s+([a-d
 _HOUSE = re.compile(r"^(\d{1,5})\s*-?\s*([a-z])?$")
 _GLUED = re.compile(r"^(.{3,}?)(strasse|str|platz|pl|weg|allee|gasse|g~)$")
 
+#: Regions that normal addresses have written out as if they were street words.
+WRITTEN_OUT = {full: short for short, full in STREET_WORDS if len(short) <= 3}
+
 FIELDS = ("number", "street", "name", "region", "postcode", "country")
 
 
@@ -92,6 +96,10 @@ def parse_one(text: str, name: str, region: str, postcode: str, country: str) ->
     if segments and segments[-1] in COUNTRIES and len(segments) > 1:
         land = land or COUNTRIES[segments[-1]]
         segments.pop()
+    if len(segments) > 2 and not code and _POSTCODE.fullmatch(segments[-1]) and (segments[-2] in WRITTEN_OUT or re.fullmatch(r"[a-z]{2,3}", segments[-2])):
+        code = _postcode(segments.pop())  # town, region and postcode one after another, as normal addresses have them
+    if len(segments) > 2 and segments[-1] in WRITTEN_OUT:
+        segments[-1] = WRITTEN_OUT[segments[-1]]
     if len(segments) > 1 and (segments[-1] == area or re.fullmatch(r"[a-z]{2,3}", segments[-1])):
         area = area or segments[-1]
         segments.pop()

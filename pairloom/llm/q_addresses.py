@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.addresses import located_pairs, parsed_pairs, same_location, with_towns
+from pairloom.llm.addresses import located_pairs, same_location
+from pairloom.session import cut_lineage
 from pairloom.sources.tables import table
 
 ALT, BASE = ("id", "addresses"), ("base_id", "base_addresses")
@@ -16,19 +17,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_location(located_pairs(table(spark, folder, "project_a_samples"), ALT, BASE))
 
 
-def p3_locations(spark: SparkSession, folder: str) -> DataFrame:
-    """Each location with the number of different places there: classes in place of pairs."""
-    located = located_pairs(table(spark, folder, "project_a_samples"), ALT, BASE)
+def _locations(located: DataFrame) -> DataFrame:
+    """(location, n_places, first_place): each location with the different places there."""
     sides = [located.select(F.col(f"{s}_id").alias("place"), F.col(f"{s}_location").alias("location")) for s in "ab"]
     places = sides[0].unionByName(sides[1]).filter(F.col("place").isNotNull() & F.col("location").isNotNull()).distinct()
     return places.groupBy("location").agg(F.count(F.lit(1)).alias("n_places"), F.min("place").alias("first_place"))
 
 
+def p3_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each location with the number of different places there: classes in place of pairs."""
+    return _locations(located_pairs(table(spark, folder, "project_a_samples"), ALT, BASE))
+
+
+def normalised_locations(df: DataFrame) -> DataFrame:
+    """(location, n_places, first_place, n_agreeing) by the normal addresses of both sides.
+
+    ``n_agreeing`` counts the different pairs of which both sides stand at the location.
+    """
+    located = cut_lineage(located_pairs(df, ("id", "norm_conflated_addr"), ("base_id", "norm_base_addr")))
+    agree = located.filter(F.col("a_location") == F.col("b_location")).select("a_id", "b_id", F.col("a_location").alias("location")).distinct()
+    agree = agree.groupBy("location").agg(F.count(F.lit(1)).alias("n"))
+    return _locations(located).join(agree, "location", "left").select("location", "n_places", "first_place", F.coalesce("n", F.lit(0)).alias("n_agreeing"))
+
+
 def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    """``norm_conflated_addr`` of phase1_processed beside ``norm_base_addr``, by the same parts."""
-    pairs = with_towns(parsed_pairs(table(spark, folder, "phase1_processed"), ("id", "norm_conflated_addr"), ("base_id", "norm_base_addr")))
-    same = (F.col("a_number") == F.col("b_number")) & (F.col("a_number") != "")
-    return pairs.groupBy("a_town").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(same.cast("long")).alias("n_same_number"))
+    """Locations of ``norm_conflated_addr`` and ``norm_base_addr`` of phase1_processed, with the places and agreeing pairs there."""
+    return normalised_locations(table(spark, folder, "phase1_processed"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_locations": p3_locations, "p3_normalised": p3_normalised}

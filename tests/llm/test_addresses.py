@@ -62,3 +62,15 @@ def test_pairs_are_ordered_and_distinct(spark):
 
 def test_empty_table(spark):
     assert located_pairs(spark.createDataFrame([], SCHEMA), ("id", "addresses"), ("base_id", "base_addresses")).count() == 0
+
+
+def test_normalised_locations(spark):
+    from pairloom.llm.q_addresses import normalised_locations
+
+    assert parse_all("150, avenue marloux, peningny, nor, 01029, fr")[0] == ("150", "avenue marloux", "peningny", "nor", "01029", "fr")
+    assert parse_all("calle lororeda, 162-a, helanilla, court, 01016, es")[0] == ("162a", "calle lororeda", "helanilla", "ct", "01016", "es")
+    rows = [(f"a{n}", f"{n + 1} alder street, upton, eng, ab1 2cd, gb", f"b{n}", f"{n + 1} alder road, upton, eng, ab1 2cd, gb" if n % 20 == 0 else f"{n + 1} alder street, upton, eng, ab1 2cd, uk") for n in range(40)]
+    rows += [(f"c{n}", f"{n + 1} alder street, newby, eng, xy9 8zw, gb", f"d{n}", f"flat 2, {n + 1} alder street, newby, eng, xy9 8zw, gb") for n in range(20)] + [rows[1], (None, "[]", None, "null")]
+    got = {r.location: (r.n_places, r.first_place, r.n_agreeing) for r in normalised_locations(spark.createDataFrame(rows, "id string, norm_conflated_addr string, base_id string, norm_base_addr string")).collect()}
+    assert got["upton|gb/2/alderstreet"] == (2, "a1", 1) and got["newby|gb/2/alderstreet"] == (2, "c1", 1)
+    assert got["upton|gb/1/alderstreet"] == (1, "a0", 0) and got["upton|gb/1/alderroad"] == (1, "b0", 0) and len(got) == 62
