@@ -267,16 +267,16 @@ def _likelihood_ratio(k: int, n: int, p0: float) -> float:
     return 2 * (term(k, p) + term(n - k, 1 - p) - term(k, p0) - term(n - k, 1 - p0))
 
 
-def mine_rewrites(evidence: DataFrame, support: int = 3, significance: float = 15.0, share: float = 0.12, max_rewrites: int = 100_000, max_rounds: int = 8) -> dict[tuple[str, str, str], str]:
+def mine_rewrites(evidence: DataFrame, support: int = 3, significance: float = 15.0, share: float = 0.12, max_rewrites: int = 100_000) -> dict[tuple[str, str, str], str]:
     """Word rewrites from ``evidence`` (country, a_street, b_street, n): pairs of streets that agree elsewhere.
 
     A word a becomes b if they stand against each other in at least ``support`` pairs, in at least ``share`` of all
     pairs of a, and the likelihood ratio against chance is at least ``significance``. Mining goes on until no new
-    rewrite appears.
+    rewrite appears; it ends, as each word of a place in the street is rewritten once.
     """
     rewrites: dict[tuple[str, str, str], str] = {}
     schema = "country string, spot string, a string, b string, n long"
-    for _ in range(max_rounds):
+    while True:
         current = dict(rewrites)
 
         def run(batches: Iterator[pd.DataFrame], current: dict[tuple[str, str, str], str] = current) -> Iterator[pd.DataFrame]:
@@ -316,9 +316,8 @@ def mine_rewrites(evidence: DataFrame, support: int = 3, significance: float = 1
             if key not in rewrites and (r.n, r.b) > fresh.get(key, (0, "")):
                 fresh[key] = (r.n, r.b)
         if not fresh:
-            break
+            return rewrites
         rewrites |= {k: b for k, (_, b) in fresh.items()}
-    return rewrites
 
 
 def misspelt_streets(pairs: DataFrame, rare: int = 2, per_hundred: float = 1.0, dwarfed: int = 8) -> DataFrame:

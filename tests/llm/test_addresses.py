@@ -74,3 +74,13 @@ def test_normalised_locations(spark):
     got = {r.location: (r.n_places, r.first_place, r.n_agreeing) for r in normalised_locations(spark.createDataFrame(rows, "id string, norm_conflated_addr string, base_id string, norm_base_addr string")).collect()}
     assert got["upton|gb/2/alderstreet"] == (2, "a1", 1) and got["newby|gb/2/alderstreet"] == (2, "c1", 1)
     assert got["upton|gb/1/alderstreet"] == (1, "a0", 0) and got["upton|gb/1/alderroad"] == (1, "b0", 0) and len(got) == 62
+
+
+def test_mining_ends_when_nothing_is_new(spark):
+    from pairloom.llm.addresses import mine_rewrites
+
+    rows = [("gb", "x0 z", "xx0 z", 5), ("gb", "xx0 z", "xx0 z", 20)]
+    for k in range(5):  # each pair shows its second word only after its first is rewritten
+        rows += [("gb", f"x{k} y{k}", f"xx{k} yy{k}", 5), ("gb", f"x{k + 1} y{k}", f"xx{k + 1} yy{k}", 5), ("gb", f"xx{k} yy{k}", f"xx{k} yy{k}", 20), ("gb", f"xx{k + 1} yy{k}", f"xx{k + 1} yy{k}", 20)]
+    got = mine_rewrites(spark.createDataFrame(rows, "country string, a_street string, b_street string, n long"))
+    assert got == {("gb", "f", f"x{k}"): f"xx{k}" for k in range(6)} | {("gb", "l", f"y{k}"): f"yy{k}" for k in range(5)}
