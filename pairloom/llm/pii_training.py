@@ -1,7 +1,9 @@
 """Labelled spans and training of the character tagger.
 
-Labels come from two places: texts put together from sentence frames with slots, whose spans are known, and a bounded
-sample of documents in which frames are recognised. ``python -m pairloom.llm.pii_training DOCUMENTS`` trains on at most
+Labels come from a bounded sample of documents in which sentence frames, fixed cue phrases among them, are recognised.
+No texts are made up. A phone, identity number, street or person outside the listed cues is trained as outside, and how
+many of those the tagger finds is not measured.
+``python -m pairloom.llm.pii_training DOCUMENTS`` trains on at most
 ``SAMPLE`` documents and writes the weights that the operator loads.
 """
 
