@@ -4,8 +4,8 @@ Bayesian fusion with copy detection. The sources named by a duplicate vote for i
 the mean posterior of the values it votes for; two sources depend on each other if they share false values more often
 than independent ones would, and of dependent votes for one value only what is left counts. The posterior of a value
 follows from its discounted votes against those of the other values of the group, and the value of the highest
-posterior survives. A duplicate that is newer and more trusted than every other candidate has prior odds beyond any
-vote, so it survives where there is one.
+posterior survives. A duplicate that is newer and more trusted than every other candidate survives where there is
+one, whatever the votes; an exact check tells it.
 
 All of it is sums and maxima per group and value, so a group that holds a third of all rows is aggregated before it is
 shuffled. Sources are learnt from the distinct voting patterns of groups. What reaches the driver are accuracies,
