@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -28,11 +30,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 def use_shared_checkpoints(spark: SparkSession) -> str:
     """Point checkpoints at the cluster's shared folder.
 
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary
-    folder is made and recorded in the session.
+    The folder is read from ``spark.checkpoint.dir``. Only where that is unset and the session runs in one process
+    (tests) a temporary folder is made and recorded in the session; on a cluster a missing folder raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pairloom-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     context = spark.sparkContext
@@ -51,11 +55,20 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Collect a table that has to be small; more than ``limit`` rows raise instead of flooding the driver."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows; raise the limit or use the joined form")
+        raise ValueError(f"{what} has more than {limit} rows, the bound of what is sent to the driver; raise the bound if its memory allows")
     return rows
 
 
-def broadcast_within(df: DataFrame, limit: int) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``limit`` rows; otherwise leave the join to shuffle."""
-    small = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if small else df
+#: Largest table that is broadcast, in bytes of its values.
+MAX_BROADCAST_BYTES = 32 * 2**20
+
+
+def broadcast_within(df: DataFrame, limit: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` has at most ``limit`` rows and ``max_bytes`` bytes.
+
+    Otherwise the join is left to shuffle.
+    """
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns]
+    first = df.limit(limit + 1).select(sum(sizes[1:], sizes[0]).alias("bytes"))
+    rows, size = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= max_bytes else df
