@@ -9,8 +9,10 @@
 3. A street of a town that never agrees with itself across a pair, lies one edit from a well supported street of that
    town and agrees with it elsewhere, or is too rare to be a street of its own, is a misspelling of it.
 
-Counts and statistics cover all addresses. What is collected is the list of kept word rewrites (checked against
-``max_rewrites``); misspellings stay a table and are joined.
+Addresses are parsed once. What they say but for the house number is a mention; all learning and looking up is done on
+distinct mentions with their counts, and addresses get the result by the mention's key. Counts and statistics cover
+all addresses. What is collected is the list of kept word rewrites (checked against ``max_rewrites``); gazetteers and
+misspellings stay tables, broadcast only after a check of their rows and bytes.
 
 Defined results: NULL, empty, unreadable addresses and addresses without street, number or town have no location.
 Repeated rows count once.
@@ -22,7 +24,8 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -176,44 +179,61 @@ def _tail(street: str) -> Column:
     return F.right(F.regexp_replace(street, "~", ""), F.lit(3))
 
 
-def with_towns(pairs: DataFrame, gazetteer_rows: int = 200_000) -> DataFrame:
-    """Fill country and town of both sides from what the other parts of addresses say; adds a_town and b_town."""
-    both = F.array(*[F.struct(*[F.col(f"{s}_{f}").alias(f) for f in FIELDS]) for s in "ab"])
-    every = pairs.select(F.explode(both).alias("part")).select("part.*").filter(_given("country")).select("name", "region", "postcode", "country", _head("street").alias("head"), _tail("street").alias("tail"))
-    # every distinct mention once per count: the rows that maps are learnt from are far fewer than addresses
-    mentions = cut_lineage(every.groupBy("name", "region", "postcode", "country", "head", "tail").agg(F.count(F.lit(1)).alias("m")))
+#: What an address says but for its house number.
+MENTION = ("street", "name", "region", "postcode", "country")
+
+#: The two halves of a mention's 128-bit key.
+KEY = ("k1", "k2")
+
+
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the mention key of both sides, a_k1 .. b_k2; NULL where a side says nothing."""
+    keys = {}
+    for s in "ab":
+        parts = [F.col(f"{s}_{f}") for f in MENTION]
+        said = F.concat(*parts) != ""
+        keys |= {f"{s}_{k}": F.when(said, F.xxhash64(F.lit(i), *parts)) for i, k in enumerate(KEY)}
+    return pairs.withColumns(keys)
+
+
+def mentions_of(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, street, name, region, postcode, country, n): distinct mentions with the number of their addresses."""
+    both = F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in (*KEY, *MENTION)]) for s in "ab"])
+    every = keyed.select(F.explode(both).alias("part")).select("part.*").filter(F.col("k1").isNotNull())
+    return every.groupBy(*KEY, *MENTION).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_towns(mentions: DataFrame, gazetteer_rows: int = 200_000) -> DataFrame:
+    """Fill the country of every mention from what other mentions say, and add its town.
+
+    A mention that lacks a part gets a key of its own for it, so that no join has a hot empty key.
+    """
+    rows = mentions.withColumns({"head": _head("street"), "tail": _tail("street")})
+    told = rows.filter(_given("country"))
+
+    def key(keys: list[str]) -> Column:
+        there = reduce(lambda x, y: x & y, [_given(k) for k in keys])
+        return F.when(there, F.concat_ws("\u0001", *keys)).otherwise(F.concat(F.lit("\u0000"), F.col("k1").cast("string")))
 
     def best(keys: list[str], value: str, share: float) -> DataFrame:
-        rows = mentions.filter(_given(value))
+        some = told.filter(_given(value))
         for k in keys:
-            rows = rows.filter(_given(k))
-        counts = rows.groupBy(*keys, value).agg(F.sum("m").alias("n"))
-        top = counts.groupBy(*keys).agg(F.max_by(value, F.struct("n", value)).alias("best_" + value), F.max("n").alias("top"), F.sum("n").alias("all"))
-        return top.filter(F.col("top") >= share * F.col("all")).select(*keys, "best_" + value)
-
-    by_region = broadcast_within(best(["region"], "country", 0.8), gazetteer_rows)
-    by_place = broadcast_within(best(["name", "postcode"], "country", 0.8), gazetteer_rows)
-    by_code = broadcast_within(best(["postcode"], "country", 0.9), gazetteer_rows)
-    by_head = broadcast_within(best(["postcode", "head"], "country", 0.95), gazetteer_rows)
-    by_tail = broadcast_within(best(["postcode", "tail"], "country", 0.95), gazetteer_rows)
-    by_name = broadcast_within(best(["name"], "country", 0.9), gazetteer_rows)
-    towns = broadcast_within(best(["country", "postcode"], "name", 0.5), gazetteer_rows)
-    known = broadcast_within(mentions.filter(_given("name")).groupBy("country", "name").agg(F.sum("m").alias("known")).filter(F.col("known") >= 3).select("country", "name", F.lit(True).alias("is_known")), gazetteer_rows)
-    for s in "ab":
-        pairs = pairs.withColumns({f"{s}_head": _head(f"{s}_street"), f"{s}_tail": _tail(f"{s}_street")})
+            some = some.filter(_given(k))
+        counts = some.groupBy(key(keys).alias("__key") if len(keys) < 2 else F.concat_ws("\u0001", *keys).alias("__key"), value).agg(F.sum("n").alias("n"))
+        top = counts.groupBy("__key").agg(F.max_by(value, F.struct("n", value)).alias("__value"), F.max("n").alias("top"), F.sum("n").alias("all"))
+        return broadcast_within(top.filter(F.col("top") >= share * F.col("all")).select("__key", "__value"), gazetteer_rows)
 
-        def joined(df: DataFrame, right: DataFrame, keys: list[str], value: str, s: str = s) -> DataFrame:
-            renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).alias(f"__{value}"))
-            on = [F.col(f"{s}_{k}") == F.col(f"__{k}") for k in keys]
-            return df.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
+    def joined(df: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        return df.withColumn("__key", key(keys)).join(right, "__key", "left").drop("__key")
 
-        for right, keys in ((by_region, ["region"]), (by_place, ["name", "postcode"]), (by_code, ["postcode"]), (by_name, ["name"]), (by_head, ["postcode", "head"]), (by_tail, ["postcode", "tail"])):
-            pairs = joined(pairs, right, keys, "best_country")
-            pairs = pairs.withColumn(f"{s}_country", F.when(_given(f"{s}_country"), F.col(f"{s}_country")).otherwise(F.coalesce("__best_country", F.lit("")))).drop("__best_country")
-        pairs = joined(joined(pairs, towns, ["country", "postcode"], "best_name"), known, ["country", "name"], "is_known")
-        town = F.when(F.col("__is_known"), F.col(f"{s}_name")).otherwise(F.coalesce(F.when(_given(f"{s}_postcode"), F.col("__best_name")), F.nullif(f"{s}_name", F.lit(""))))
-        pairs = pairs.withColumn(f"{s}_town", F.coalesce(F.concat(town, F.lit("|"), F.col(f"{s}_country")), F.lit(""))).drop("__best_name", "__is_known")
-    return pairs
+    for keys, share in ((["region"], 0.8), (["name", "postcode"], 0.8), (["postcode"], 0.9), (["name"], 0.9), (["postcode", "head"], 0.95), (["postcode", "tail"], 0.95)):
+        found = joined(rows, best(keys, "country", share), keys)
+        rows = found.withColumn("country", F.when(_given("country"), F.col("country")).otherwise(F.coalesce("__value", F.lit("")))).drop("__value")
+    known = told.filter(_given("name")).groupBy(F.concat_ws("\u0001", "country", "name").alias("__key")).agg(F.sum("n").alias("known")).filter(F.col("known") >= 3)
+    known = broadcast_within(known.select("__key", F.lit(True).alias("__known")), gazetteer_rows)
+    rows = joined(joined(rows, best(["country", "postcode"], "name", 0.5), ["country", "postcode"]), known, ["country", "name"])
+    town = F.when(F.col("__known"), F.col("name")).otherwise(F.coalesce(F.when(_given("postcode"), F.col("__value")), F.nullif("name", F.lit(""))))
+    return rows.withColumn("town", F.coalesce(F.concat(town, F.lit("|"), F.col("country")), F.lit(""))).drop("__value", "__known", "head", "tail")
 
 
 def split_street(country: str, street: str) -> list[str]:
@@ -320,25 +340,22 @@ def mine_rewrites(evidence: DataFrame, support: int = 3, significance: float = 1
         rewrites |= {k: b for k, (_, b) in fresh.items()}
 
 
-def misspelt_streets(pairs: DataFrame, rare: int = 2, per_hundred: float = 1.0, dwarfed: int = 8) -> DataFrame:
+def misspelt_streets(together: DataFrame, written: DataFrame, rare: int = 2, per_hundred: float = 1.0, dwarfed: int = 8) -> DataFrame:
     """(town, street, right): streets of a town that are misspellings of another street there.
 
-    ``pairs`` has a_town, a_number, a_street, a_words (the street before rewrites) and the same for b. The words of a
+    ``together`` (town, a_street, b_street, k) counts the pairs that agree in town and number by their streets after
+    rewrites; ``written`` (town, street, written, n) the addresses by street, after rewrites and, without spaces, before
+    them. The words of a
     misspelling lie one insertion, loss, change or swap of neighbours from some way the right street is written. It
     never stands on both sides of a pair and either stands against the right street in a pair with the same number or
     occurs at most ``rare`` times plus ``per_hundred`` percent of its times; or it stands against a street that is
     ``dwarfed`` times as common. The right street has to stand on both sides of some pair, or neither does and it is
     the more common one of two that stand against each other. The best supported right street is taken.
     """
-    agree = (F.col("a_town") == F.col("b_town")) & (F.col("a_number") == F.col("b_number")) & _given("a_street") & _given("b_street") & _given("a_town")
-    together = cut_lineage(pairs.filter(agree).groupBy("a_town", "a_street", "b_street").agg(F.count(F.lit(1)).alias("k")))
-    sure = together.filter(F.col("a_street") == F.col("b_street")).select(F.col("a_town").alias("town"), F.col("a_street").alias("street"), F.col("k").alias("itself"))
+    sure = together.filter(F.col("a_street") == F.col("b_street")).select("town", F.col("a_street").alias("street"), F.col("k").alias("itself"))
     against = together.filter(F.col("a_street") != F.col("b_street"))
-    against = against.select("a_town", "a_street", "b_street", "k").unionByName(against.select("a_town", F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street"), "k"))
-    against = against.groupBy(F.col("a_town").alias("town"), F.col("a_street").alias("street"), F.col("b_street").alias("right")).agg(F.sum("k").alias("k"))
-    sides = [pairs.select(F.col(f"{s}_town").alias("town"), F.col(f"{s}_street").alias("street"), F.regexp_replace(f"{s}_words", " ", "").alias("written")) for s in "ab"]
-    written = sides[0].unionByName(sides[1]).filter(_given("town") & _given("street")).groupBy("town", "street", "written").agg(F.count(F.lit(1)).alias("n"))
-    written = cut_lineage(written)
+    against = against.select("town", "a_street", "b_street", "k").unionByName(against.select("town", F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street"), "k"))
+    against = against.groupBy("town", F.col("a_street").alias("street"), F.col("b_street").alias("right")).agg(F.sum("k").alias("k"))
     forms = written.groupBy("town", "street").agg(F.sum("n").alias("n")).join(sure, ["town", "street"], "left")
     written = written.drop("n").join(forms, ["town", "street"])
     w = F.col("written")
@@ -357,35 +374,83 @@ def misspelt_streets(pairs: DataFrame, rare: int = 2, per_hundred: float = 1.0,
     return near.groupBy("town", "street").agg(F.max_by("right", F.struct(F.coalesce("k", F.lit(0)), F.coalesce("itself_right", F.lit(0)), "n_right", "right")).alias("right"))
 
 
-def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000, rest: bool = False) -> DataFrame:
-    """(keep, a_id, b_id, a_location, b_location) of every row and address of ``df``; without one, location is NULL.
+@dataclass
+class Located:
+    """Parsed addresses and where their mentions lie.
 
-    With ``rest`` also a_rest: all that an alt address without location says; NULL if that is nothing.
+    ``pairs`` has keep, a_id, b_id and by side the number and mention key of every row and address; ``mentions`` by key
+    what was said, the town and the street after rewrites and corrections (without spaces; empty where there is none).
     """
-    more = ["a_region", "a_postcode"] if rest else []
-    pairs = cut_lineage(with_towns(parsed_pairs(df, alt, base, keep)).select(*keep, "a_id", "b_id", *[f"{s}_{f}" for s in "ab" for f in ("number", "street", "town", "country")], *more))
-    same = (F.col("a_town") == F.col("b_town")) & _given("a_town") & (F.col("a_number") == F.col("b_number")) & _given("a_number") & _given("a_street") & _given("b_street")
-    evidence = cut_lineage(pairs.filter(same).groupBy(F.col("a_country").alias("country"), "a_street", "b_street").agg(F.count(F.lit(1)).alias("n")))
-    rewrites = mine_rewrites(evidence, max_rewrites=max_rewrites)
-    for s in "ab":
-        country, street = F.col(f"{s}_country"), F.col(f"{s}_street")
-        pairs = pairs.withColumns({f"{s}_words": normalise_streets(country, street, {}), f"{s}_street": normalise_streets(country, street, rewrites)})
-    pairs = cut_lineage(pairs)
-    wrong = broadcast_within(cut_lineage(misspelt_streets(pairs)), 200_000)
+
+    pairs: DataFrame
+    mentions: DataFrame
+
+    def _of(self, s: str) -> DataFrame:
+        m = self.mentions.filter(_given("town") & _given("street"))
+        return m.select(F.col("k1").alias(f"{s}_k1"), F.col("k2").alias(f"{s}_k2"), F.col("town").alias("__town"), F.col("right").alias("__street"))
+
+    def _location(self, df: DataFrame, s: str) -> DataFrame:
+        whole = F.when(_given(f"{s}_number"), F.col("__town"))
+        joined = df.join(self._of(s), [f"{s}_{k}" for k in KEY], "left")
+        location = F.when(whole.isNotNull(), F.concat_ws("/", whole, f"{s}_number", "__street"))
+        return joined.withColumn(f"{s}_location", location).drop("__town", "__street")
+
+    def rows(self, *keep: str) -> DataFrame:
+        """(keep, a_id, b_id, a_location, b_location) of every row and address; without one, location is NULL."""
+        return self._location(self._location(self.pairs, "a"), "b").select(*keep, "a_id", "b_id", "a_location", "b_location")
+
+    def places(self) -> DataFrame:
+        """(place, location): the locations of every place of either side; each address is looked up once."""
+        sides = [self.pairs.select(F.col(f"{s}_id").alias("place"), F.col(f"{s}_number").alias("s_number"), *[F.col(f"{s}_{k}").alias(f"s_{k}") for k in KEY]) for s in "ab"]
+        said = sides[0].unionByName(sides[1]).filter(F.col("place").isNotNull() & F.col("s_k1").isNotNull() & _given("s_number")).distinct()
+        return self._location(said, "s").filter(F.col("s_location").isNotNull()).select("place", F.col("s_location").alias("location")).distinct()
+
+    def said(self) -> DataFrame:
+        """(a_id, b_id, said): the location of every alt address, or all that it says where it has none."""
+        asked = self.pairs.filter(F.col("a_k1").isNotNull() | _given("a_number")).select("a_id", "b_id", "a_number", "a_k1", "a_k2").distinct()
+        m = self.mentions.select(F.col("k1").alias("a_k1"), F.col("k2").alias("a_k2"), "town", "street", "right", "region", "postcode", "country")
+        text = [F.coalesce(F.col(c), F.lit("")) for c in ("town", "a_number", "street", "region", "postcode", "country")]
+        whole = _given("town") & _given("street") & _given("a_number")
+        told = F.when(whole, F.concat_ws("/", "town", "a_number", "right")).otherwise(F.concat_ws("/", F.lit("-"), *text))
+        return asked.join(m, ["a_k1", "a_k2"], "left").select("a_id", "b_id", told.alias("said"))
+
+
+def located(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000, gazetteer_rows: int = 200_000) -> Located:
+    """Parse, learn and look up the addresses of ``alt`` and ``base`` (place id and addresses columns) of ``df``."""
+    keyed = _keyed(cut_lineage(parsed_pairs(df, alt, base, keep)))
+    mentions = cut_lineage(with_towns(cut_lineage(mentions_of(keyed)), gazetteer_rows))
+    pairs = keyed.select(*keep, "a_id", "b_id", *[f"{s}_{c}" for s in "ab" for c in ("number", *KEY)])
+    same = pairs.filter((F.col("a_number") == F.col("b_number")) & _given("a_number")).groupBy(*[f"{s}_{k}" for s in "ab" for k in KEY]).agg(F.count(F.lit(1)).alias("k"))
+    placed = mentions.filter(_given("town") & _given("street"))
     for s in "ab":
-        fixed = wrong.select(F.col("town").alias(f"{s}_town"), F.col("street").alias(f"{s}_street"), F.col("right").alias("__right"))
-        pairs = pairs.join(fixed, [f"{s}_town", f"{s}_street"], "left")
-        street = F.regexp_replace(F.coalesce("__right", f"{s}_street"), " ", "")
-        whole = _given(f"{s}_town") & _given(f"{s}_street") & _given(f"{s}_number")
-        pairs = pairs.withColumn(f"{s}_location", F.when(whole, F.concat_ws("/", f"{s}_town", f"{s}_number", street))).drop("__right")
-    said = [F.col(f"a_{f}") for f in ("town", "number", "street", "region", "postcode", "country")] if rest else []
-    left = [F.when(F.col("a_location").isNull() & (F.concat(*said) != ""), F.concat_ws("/", *said)).alias("a_rest")] if rest else []
-    return pairs.select(*keep, "a_id", "b_id", "a_location", "b_location", *left)
-
-
-def same_location(located: DataFrame) -> DataFrame:
-    """(id_a, id_b): pairs of different places at one location, the smaller id first."""
-    sides = [located.select(F.col(f"{s}_id").alias("place"), F.col(f"{s}_location").alias("location")) for s in "ab"]
-    places = sides[0].unionByName(sides[1]).filter(F.col("place").isNotNull() & F.col("location").isNotNull()).distinct()
+        side = placed.select(*[F.col(k).alias(f"{s}_{k}") for k in KEY], F.col("town").alias(f"{s}_town"), F.col("country").alias(f"{s}_country"), F.col("street").alias(f"{s}_street"))
+        same = same.join(side, [f"{s}_{k}" for k in KEY])
+    same = same.filter(F.col("a_town") == F.col("b_town")).groupBy(F.col("a_town").alias("town"), F.col("a_country").alias("country"), "a_street", "b_street").agg(F.sum("k").alias("k"))
+    same = cut_lineage(same)
+    rewrites = mine_rewrites(cut_lineage(same.groupBy("country", "a_street", "b_street").agg(F.sum("k").alias("n"))), max_rewrites=max_rewrites)
+    country, street = F.col("country"), F.col("street")
+    normal = mentions.withColumns({"words": normalise_streets(country, street, {}), "normal": normalise_streets(country, street, rewrites)})
+    together = same.select("town", *[normalise_streets(country, F.col(f"{s}_street"), rewrites).alias(f"{s}_street") for s in "ab"], "k")
+    together = cut_lineage(together.groupBy("town", "a_street", "b_street").agg(F.sum("k").alias("k")))
+    written = normal.filter(_given("town") & _given("normal")).groupBy("town", F.col("normal").alias("street"), F.regexp_replace("words", " ", "").alias("written")).agg(F.sum("n").alias("n"))
+    wrong = cut_lineage(misspelt_streets(together, cut_lineage(written)))
+    wrong = broadcast_within(wrong.select("town", F.col("street").alias("normal"), F.col("right").alias("__right")), gazetteer_rows)
+    done = normal.join(wrong, ["town", "normal"], "left").withColumn("right", F.regexp_replace(F.coalesce("__right", "normal"), " ", ""))
+    return Located(pairs, done.select(*KEY, *MENTION, "town", "right"))
+
+
+def located_pairs(df: DataFrame, alt: tuple[str, str], base: tuple[str, str], keep: tuple[str, ...] = (), max_rewrites: int = 100_000) -> DataFrame:
+    """(keep, a_id, b_id, a_location, b_location) of every row and address of ``df``; without one, location is NULL."""
+    return located(df, alt, base, keep, max_rewrites).rows(*keep)
+
+
+def places_of_rows(located_rows: DataFrame) -> DataFrame:
+    """(place, location) of both sides of located rows."""
+    sides = [located_rows.select(F.col(f"{s}_id").alias("place"), F.col(f"{s}_location").alias("location")) for s in "ab"]
+    return sides[0].unionByName(sides[1]).filter(F.col("place").isNotNull() & F.col("location").isNotNull()).distinct()
+
+
+def same_location(places: DataFrame) -> DataFrame:
+    """(id_a, id_b): pairs of different places (place, location) at one location, the smaller id first."""
     left, right = places.select(F.col("place").alias("id_a"), "location"), places.select(F.col("place").alias("id_b"), "location")
     return left.join(right, "location").filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()

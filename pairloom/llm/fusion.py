@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.jsonx import as_objects, unwrap_json
 from pairloom.functions.text import website
 from pairloom.functions.timestamps import with_instants
-from pairloom.llm.addresses import located_pairs
+from pairloom.llm.addresses import located
 from pairloom.llm.consensus import winner
 from pairloom.session import bounded_rows, broadcast_within, cut_lineage
 
@@ -89,8 +89,8 @@ def place_keys(df: DataFrame) -> DataFrame:
     """
     if "base_addresses" not in df.columns:
         df = df.withColumn("base_addresses", F.lit(None).cast("string"))
-    located = located_pairs(df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull()), ("id", "addresses"), ("base_id", "base_addresses"), rest=True)
-    said = located.select(F.col("b_id").alias("base_id"), F.col("a_id").alias("id"), F.coalesce("a_location", "a_rest").alias("said")).filter(F.col("said").isNotNull())
+    rows = df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull())
+    said = located(rows, ("id", "addresses"), ("base_id", "base_addresses")).said().select(F.col("b_id").alias("base_id"), F.col("a_id").alias("id"), "said")
     return said.groupBy("base_id", "id").agg(F.xxhash64(F.array_sort(F.collect_set("said"))).alias("place"))
 
 

@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.addresses import located_pairs, same_location
+from pairloom.llm.addresses import located, located_pairs, places_of_rows, same_location
 from pairloom.session import cut_lineage
 from pairloom.sources.tables import table
 
 ALT, BASE = ("id", "addresses"), ("base_id", "base_addresses")
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    return located(table(spark, folder, "project_a_samples"), ALT, BASE).places()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different places that stand at the same location."""
-    return same_location(located_pairs(table(spark, folder, "project_a_samples"), ALT, BASE))
+    return same_location(_places(spark, folder))
+
+
+def p3_places(spark: SparkSession, folder: str) -> DataFrame:
+    """(place, location): the class of every place that has one."""
+    return _places(spark, folder)
 
 
-def _locations(located: DataFrame) -> DataFrame:
+def _locations(places: DataFrame) -> DataFrame:
     """(location, n_places, first_place): each location with the different places there."""
-    sides = [located.select(F.col(f"{s}_id").alias("place"), F.col(f"{s}_location").alias("location")) for s in "ab"]
-    places = sides[0].unionByName(sides[1]).filter(F.col("place").isNotNull() & F.col("location").isNotNull()).distinct()
     return places.groupBy("location").agg(F.count(F.lit(1)).alias("n_places"), F.min("place").alias("first_place"))
 
 
 def p3_locations(spark: SparkSession, folder: str) -> DataFrame:
-    """Each location with the number of different places there: classes in place of pairs."""
-    return _locations(located_pairs(table(spark, folder, "project_a_samples"), ALT, BASE))
+    """Each location with the number of different places there; ``p3_places`` has the places themselves."""
+    return _locations(_places(spark, folder))
 
 
 def normalised_locations(df: DataFrame) -> DataFrame:
@@ -34,10 +41,10 @@ def normalised_locations(df: DataFrame) -> DataFrame:
 
     ``n_agreeing`` counts the different pairs of which both sides stand at the location.
     """
-    located = cut_lineage(located_pairs(df, ("id", "norm_conflated_addr"), ("base_id", "norm_base_addr")))
-    agree = located.filter(F.col("a_location") == F.col("b_location")).select("a_id", "b_id", F.col("a_location").alias("location")).distinct()
+    found = cut_lineage(located_pairs(df, ("id", "norm_conflated_addr"), ("base_id", "norm_base_addr")))
+    agree = found.filter(F.col("a_location") == F.col("b_location")).select("a_id", "b_id", F.col("a_location").alias("location")).distinct()
     agree = agree.groupBy("location").agg(F.count(F.lit(1)).alias("n"))
-    return _locations(located).join(agree, "location", "left").select("location", "n_places", "first_place", F.coalesce("n", F.lit(0)).alias("n_agreeing"))
+    return _locations(places_of_rows(found)).join(agree, "location", "left").select("location", "n_places", "first_place", F.coalesce("n", F.lit(0)).alias("n_agreeing"))
 
 
 def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,5 +52,5 @@ def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return normalised_locations(table(spark, folder, "phase1_processed"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_locations": p3_locations, "p3_normalised": p3_normalised}
+QUERIES = {"p3_found": p3_found, "p3_places": p3_places, "p3_locations": p3_locations, "p3_normalised": p3_normalised}
 ORACLES: dict[str, str] = {}

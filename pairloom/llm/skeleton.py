@@ -94,10 +94,21 @@ def _folds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda text: None if text is None else fold(text))
 
 
+class _Folds(dict):
+    """What each character folds to, worked out on first use."""
+
+    def __missing__(self, code: int) -> str:
+        text = unicodedata.normalize("NFKD", skeleton_of(chr(code)).replace("º", "o").replace("ª", "a")).casefold()
+        self[code] = found = "".join(c for c in text if not unicodedata.combining(c))
+        return found
+
+
+_FOLDS = _Folds()
+
+
 def fold(text: str) -> str:
     """Look-alikes, case, accents and spacing taken away."""
-    text = unicodedata.normalize("NFKD", skeleton_of(text).replace("º", "o").replace("ª", "a")).casefold()
-    return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
+    return " ".join((text.lower() if text.isascii() else text.translate(_FOLDS)).split())
 
 
 def folded_words(c: Column) -> Column:

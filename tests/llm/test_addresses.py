@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import random
 
-from pairloom.llm.addresses import located_pairs, parse_all, same_location
+from pairloom.llm.addresses import located_pairs, parse_all, places_of_rows, same_location
 
 SCHEMA = "id string, addresses string, base_id string, base_addresses string, number string"
 
@@ -56,8 +56,8 @@ def test_mined_rewrites_join_locations(spark):
 
 def test_pairs_are_ordered_and_distinct(spark):
     located = spark.createDataFrame([("p", "q", "t/1/s", "t/1/s"), ("p", "q", "t/1/s", "t/1/s"), ("r", "p", None, "t/1/s"), ("q", "q", "t/1/s", "t/1/s"), (None, "z", "t/1/s", "t/2/s")], "a_id string, b_id string, a_location string, b_location string")
-    assert sorted(map(tuple, same_location(located).collect())) == [("p", "q")]
-    assert same_location(located.limit(0)).count() == 0
+    assert sorted(map(tuple, same_location(places_of_rows(located)).collect())) == [("p", "q")]
+    assert same_location(places_of_rows(located.limit(0))).count() == 0
 
 
 def test_empty_table(spark):
