@@ -357,12 +357,22 @@ def misspelt_streets(together: DataFrame, written: DataFrame, rare: int = 2, per
     against = against.select("town", "a_street", "b_street", "k").unionByName(against.select("town", F.col("b_street").alias("a_street"), F.col("a_street").alias("b_street"), "k"))
     against = against.groupBy("town", F.col("a_street").alias("street"), F.col("b_street").alias("right")).agg(F.sum("k").alias("k"))
     forms = written.groupBy("town", "street").agg(F.sum("n").alias("n")).join(sure, ["town", "street"], "left")
-    written = written.drop("n").join(forms, ["town", "street"])
-    w = F.col("written")
-    less = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    signs = written.select("*", F.explode(F.array_union(F.array(w), less)).alias("sign"))
-    right = signs.select("town", F.col("street").alias("right"), F.col("written").alias("as"), F.col("n").alias("n_right"), F.col("itself").alias("itself_right"), "sign")
-    near = signs.join(right, ["town", "sign"]).filter((F.col("street") != F.col("right")) & (F.col("itself").isNull() | (F.col("n") * dwarfed <= F.col("n_right")))).drop("sign").distinct()
+    written = written.drop("n").join(forms, ["town", "street"]).withColumn("w", F.xxhash64("town", "street", "written"))
+    # what can be wrong: streets never sure of themselves, and those that some street of the town dwarfs
+    most = forms.groupBy("town").agg(F.max("n").alias("most"))
+    doubtful = written.join(most, "town").filter(F.col("itself").isNull() | (F.col("n") * dwarfed <= F.col("most"))).drop("most")
+
+    def signs(rows: DataFrame, name: str) -> DataFrame:
+        """(name, sign): the key of each row under hashes of its writing and of the writing less one letter."""
+        w = F.col("written")
+        less = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return rows.select(F.col("w").alias(name), F.explode(F.array_distinct(F.transform(F.array_union(F.array(w), less), lambda x: F.xxhash64("town", x)))).alias("sign"))
+
+    # only keys are shuffled; rows that met by a sign are fetched and compared
+    met = signs(doubtful, "w").join(signs(written, "w_right"), "sign").filter(F.col("w") != F.col("w_right")).select("w", "w_right").distinct()
+    right = written.select(F.col("w").alias("w_right"), F.col("town").alias("town_right"), F.col("street").alias("right"), F.col("written").alias("as"), F.col("n").alias("n_right"), F.col("itself").alias("itself_right"))
+    near = met.join(doubtful, "w").join(right, "w_right").filter((F.col("town") == F.col("town_right")) & (F.col("street") != F.col("right"))).drop("w", "w_right", "town_right")
+    near = near.filter(F.col("itself").isNull() | (F.col("n") * dwarfed <= F.col("n_right")))
     distance = F.levenshtein("written", "as")
     letters = lambda c: F.array_sort(F.split(c, ""))
     near = near.filter((distance <= 1) | ((distance == 2) & (F.length("written") == F.length("as")) & (letters("written") == letters("as"))))
