@@ -2,29 +2,35 @@
 
 Bayesian fusion with copy detection. The sources named by a duplicate vote for its values. The accuracy of a source is
 the mean posterior of the values it votes for; two sources depend on each other if they share false values more often
-than independent ones would, and of dependent votes for one value only what is left counts. The posterior of a value
-follows from its discounted votes against those of the other values of the group, and the value of the highest
-posterior survives. A duplicate that is newer and more trusted than every other candidate survives where there is
-one, whatever the votes; an exact check tells it.
+than independent ones would, and of dependent votes for one value only what is left counts. Both are fixed points,
+sought until accuracies stand still.
 
-All of it is sums and maxima per group and value, so a group that holds a third of all rows is aggregated before it is
-shuffled. Sources are learnt from the distinct voting patterns of groups. What reaches the driver are accuracies,
-pairs of sources and distinct sets of voters; their number is checked.
+One posterior decides. Its prior speaks for the value of the duplicate that is newer than all others and of the one that
+is more trusted than all others, each moderately, so that votes can overrule either, and strongly where both are the
+same duplicate (``Prior``). The value of the highest posterior survives, in the words of its most trusted, then newest
+duplicate. An exact check tells if that duplicate is undisputed: newer and more trusted than every other candidate.
+
+Only groups of two or more different ids are read on. All is sums and maxima per group and value, so a group that holds
+a third of all rows is aggregated before it is shuffled. Sources are learnt from the distinct voting patterns of groups.
+What reaches the driver are accuracies and pairs of sources; their number is checked.
 
 Defined results: a field is filled if text remains apart from nulls, JSON marks and keys; JSON that cannot be read
 fills nothing; plain text does. Groups without a filled field have no row for it. A missing instant or confidence (NULL
-or NaN) is less than any other. NULL ids and group ids are left out, repeated rows count once.
+or NaN) is less than any other. NULL ids and group ids are left out, repeated rows count once. Equal posteriors fall to
+the more trusted, then newer, then greater id.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pairloom.functions.jsonx import as_objects, unwrap_json
 from pairloom.functions.text import website
@@ -94,12 +100,20 @@ def place_keys(df: DataFrame) -> DataFrame:
     return said.groupBy("base_id", "id").agg(F.xxhash64(F.array_sort(F.collect_set("said"))).alias("place"))
 
 
+def in_groups(df: DataFrame) -> DataFrame:
+    """Rows of groups (base_id) that have two or more different ids."""
+    rows = df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull())
+    groups = rows.groupBy("base_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter(F.col("a") != F.col("z")).select("base_id")
+    return rows.join(broadcast_within(groups, 2_000_000), "base_id", "left_semi")
+
+
 def duplicates(df: DataFrame, feeds: DataFrame, golden: DataFrame) -> DataFrame:
     """One row per group and duplicate: base_id, id, instant, confidence, and per field a struct (key, voters) or NULL.
 
-    A duplicate is no candidate for a field if it does not fill it or golden gives the field to base or none.
+    Groups of one id are no duplicates. A duplicate is no candidate for a field if it does not fill it or golden gives
+    the field to base or none.
     """
-    rows = df.filter(F.col("id").isNotNull() & F.col("base_id").isNotNull())
+    df = rows = in_groups(df)
     confidence = F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(NO_CONFIDENCE))
     rows = rows.select("base_id", "id", confidence.alias("confidence"), "sources", *[unwrap_json(F.col(f)).alias(f) for f in FIELDS])
     keys = [F.when(remaining_text(F.col(f)).isNotNull(), value_key(f, F.col(f))).alias(f"k_{f}") for f in FIELDS]
@@ -120,33 +134,33 @@ def duplicates(df: DataFrame, feeds: DataFrame, golden: DataFrame) -> DataFrame:
     return one.select("base_id", "id", "instant", "confidence", *[c.alias(f) for f, c in out.items()])
 
 
-def undisputed(dups: DataFrame) -> DataFrame:
-    """(base_id, field_name, undisputed): per group of two or more ids the candidate newer and more trusted than all others.
+def claims(dups: DataFrame) -> DataFrame:
+    """(base_id, field_name, key, voters, kept, newest, eldest, most, least): the values of each group and field.
 
-    One aggregation: a maximum is unique if the largest and the smallest id that reach it are the same.
+    ``voters`` are all that name the value; ``kept`` is the duplicate that stands for it, the most trusted, then newest
+    one. ``newest`` and ``eldest`` hold its greatest instant with the greatest and the smallest id that reach it,
+    ``most`` and ``least`` the same of its confidence: a maximum is unique if both ids are the same.
     """
-    aggregates = [F.count(F.lit(1)).alias("n_ids")]
-    for f in FIELDS:
-        here = F.col(f).isNotNull()
-        aggregates += [
-            F.max(F.when(here, F.struct("instant", "id"))).alias(f"i_{f}"), F.min(F.when(here, F.struct((-F.col("instant")).alias("m"), "id"))).alias(f"j_{f}"),
-            F.max(F.when(here, F.struct("confidence", "id"))).alias(f"c_{f}"), F.min(F.when(here, F.struct((-F.col("confidence")).alias("m"), "id"))).alias(f"d_{f}"),
-        ]
-    groups = dups.groupBy("base_id").agg(*aggregates).filter(F.col("n_ids") >= 2)
-    best = {f: F.when((F.col(f"i_{f}.id") == F.col(f"j_{f}.id")) & (F.col(f"c_{f}.id") == F.col(f"d_{f}.id")) & (F.col(f"i_{f}.id") == F.col(f"c_{f}.id")), F.col(f"i_{f}.id")) for f in FIELDS}
-    fields = F.array(*[F.when(F.col(f"i_{f}").isNotNull(), F.struct(F.lit(f).alias("field_name"), best[f].alias("undisputed"))) for f in FIELDS])
-    return groups.select("base_id", F.explode(F.array_compact(fields)).alias("f")).select("base_id", "f.field_name", "f.undisputed")
+    fields = F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.key").alias("key"), F.col(f"{f}.voters").alias("voters"))) for f in FIELDS])
+    rows = dups.select("base_id", "id", "instant", "confidence", F.explode(F.array_compact(fields)).alias("f")).select("base_id", "id", "instant", "confidence", "f.*")
+    return rows.groupBy("base_id", "field_name", "key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("voters")))).alias("voters"), F.max(F.struct("confidence", "instant", "id")).alias("kept"),
+        F.max(F.struct("instant", "id")).alias("newest"), F.min(F.struct((-F.col("instant")).alias("instant"), "id")).alias("eldest"),
+        F.max(F.struct("confidence", "id")).alias("most"), F.min(F.struct((-F.col("confidence")).alias("confidence"), "id")).alias("least"),
+    )
 
 
-def claims(dups: DataFrame) -> DataFrame:
-    """(base_id, field_name, key, voters, kept): the values of each group and field, with all their voters.
+@dataclass(frozen=True)
+class Prior:
+    """Log odds that a value is right before any vote.
 
-    ``kept`` is the duplicate that stands for the value: the most trusted, then newest one.
+    ``newest``: it is that of the one duplicate newer than all others; ``trusted``: of the one more trusted than all
+    others; ``both``: besides, one duplicate is both. Votes of some dozens of accurate sources overrule 60.
     """
-    fields = F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.key").alias("key"), F.col(f"{f}.voters").alias("voters"))) for f in FIELDS])
-    rows = dups.select("base_id", F.struct("confidence", "instant", "id").alias("kept"), F.explode(F.array_compact(fields)).alias("f")).select("base_id", "f.field_name", "f.key", "f.voters", "kept")
-    grouped = rows.groupBy("base_id", "field_name", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("voters")))).alias("voters"), F.max("kept").alias("kept"))
-    return grouped
+
+    newest: float = 2.0
+    trusted: float = 2.0
+    both: float = 60.0
 
 
 @dataclass
@@ -177,13 +191,16 @@ class Sources:
         return [math.exp(s - top) / whole for s in scores]
 
 
-def learn_sources(claimed: DataFrame, rounds: int = 5, prior: float = 0.1, max_sources: int = 1_000) -> Sources:
-    """Accuracies and dependence of all sources by fixed-point rounds over the distinct voting patterns of groups."""
+def learn_sources(claimed: DataFrame, tolerance: float = 1e-3, most_rounds: int = 50, prior: float = 0.1, max_sources: int = 1_000) -> Sources:
+    """Accuracies and dependence of all sources by fixed-point rounds over the distinct voting patterns of groups.
+
+    Rounds end when no accuracy moves by ``tolerance`` or more; a warning tells if ``most_rounds`` did not get there.
+    """
     by_voters = claimed.groupBy("base_id", "field_name", "voters").agg(F.count(F.lit(1)).cast("int").alias("m"))
     patterns = by_voters.groupBy("base_id", "field_name").agg(F.sort_array(F.collect_list(F.struct("voters", "m"))).alias("pattern"))
     patterns = cut_lineage(patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
     model = Sources({}, {})
-    for _ in range(rounds):
+    for _ in range(most_rounds):
 
         def run(batches: Iterator[pd.DataFrame], model: Sources = model) -> Iterator[pd.DataFrame]:
             sums: dict[tuple[str, str], list[float]] = {}
@@ -220,28 +237,64 @@ def learn_sources(claimed: DataFrame, rounds: int = 5, prior: float = 0.1, max_s
                 copy = (a * model.copied + free[0] * (1 - model.copied), (1 - a) * model.copied + free[1] * (1 - model.copied))
                 odds = r.x * math.log(copy[0] / free[0]) + r.y * math.log(copy[1] / free[1]) + r.z * math.log(1 - model.copied)
                 depends[(r.a, r.b)] = 1 / (1 + (1 - prior) / prior * math.exp(-min(max(odds, -500), 500)))
+        moved = max((abs(a - model.accuracy.get(s, 0.8)) for s, a in accuracy.items()), default=0.0)
         model = Sources(accuracy, depends, model.n_false, model.copied)
+        if moved < tolerance:
+            return model
+    warnings.warn(f"accuracies of sources still move by {moved:.4f} after {most_rounds} rounds", stacklevel=2)
     return model
 
 
-def survivors(dups: DataFrame, max_voter_sets: int = 200_000) -> DataFrame:
+def with_votes(claimed: DataFrame, model: Sources, small_sets: int = 200_000) -> DataFrame:
+    """``claimed`` with the discounted votes of each value; they are counted once per distinct set of voters."""
+    sent = claimed.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = sent.value
+        for batch in batches:
+            yield batch.map(lambda v: known.votes(tuple(v))).astype(float)
+
+    sets = claimed.select("voters").distinct()
+    votes = sets.withColumn("votes", F.pandas_udf(count, DoubleType())("voters"))
+    return claimed.join(broadcast_within(votes, small_sets), "voters")
+
+
+def survivors(dups: DataFrame, prior: Prior = Prior()) -> DataFrame:
     """(base_id, field_name, id, posterior, n_values, is_undisputed): the surviving duplicate of each group and field.
 
-    Only groups of two or more different ids, and fields that some candidate fills.
+    Only fields that some candidate fills. The posterior is worked out from sums per distinct vote count, of which a
+    group has no more than there are sets of voters, with the greatest score taken off before any exponential.
     """
     claimed = cut_lineage(claims(dups))
     model = learn_sources(claimed)
-    sets = bounded_rows(claimed.select("voters").distinct(), max_voter_sets, "sets of voters")
-    scores = dups.sparkSession.createDataFrame([(list(r.voters), model.votes(tuple(r.voters))) for r in sets], "voters array<string>, votes double")
-    scored = claimed.join(broadcast_within(scores, max_voter_sets), "voters")
-    votes = F.col("votes")
-    fused = scored.groupBy("base_id", "field_name").agg(
-        F.max(F.struct("votes", "kept")).alias("best"), F.max(F.struct("kept", "votes")).alias("trusted"), F.sum(F.exp(votes)).alias("weight"), F.count(F.lit(1)).alias("n_values")
+    scored = with_votes(claimed, model)
+    of_vote = scored.groupBy("base_id", "field_name", "votes").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("kept", "key")).alias("best"), F.max(F.struct("newest", "key", "kept")).alias("newest"), F.min("eldest").alias("eldest"),
+        F.max(F.struct("most", "key", "kept")).alias("most"), F.min("least").alias("least"),
+    )
+    group = of_vote.groupBy("base_id", "field_name").agg(
+        F.sum("n").alias("n_values"), F.collect_list(F.struct("votes", "n")).alias("counts"), F.max(F.struct("votes", "best")).alias("plain"),
+        F.max(F.struct("newest", "votes")).alias("newest"), F.min("eldest").alias("eldest"), F.max(F.struct("most", "votes")).alias("most"), F.min("least").alias("least"),
+    )
+    newest, most = F.col("newest.newest"), F.col("most.most")
+    one_newest, one_most = newest["newest"]["id"] == F.col("eldest.id"), most["most"]["id"] == F.col("least.id")
+    sole = one_newest & one_most & (newest["newest"]["id"] == most["most"]["id"])
+    together = newest["key"] == most["key"]
+    plus = lambda when, x: F.when(when, F.lit(float(x))).otherwise(0.0)
+    for_newest, for_most = plus(one_newest, prior.newest), plus(one_most, prior.trusted)
+    bonus_newest = for_newest + F.when(together, for_most).otherwise(0.0) + plus(sole, prior.both)
+    bonus_most = for_most + F.when(together, for_newest).otherwise(0.0) + plus(sole, prior.both)
+    group = group.withColumns({"bonus_newest": bonus_newest, "bonus_most": bonus_most, "sole": F.when(sole, newest["newest"]["id"]), "together": together})
+    options = F.array(
+        F.struct(F.col("plain.votes").alias("score"), F.col("plain.best.kept").alias("kept")),
+        F.struct((F.col("newest.votes") + F.col("bonus_newest")).alias("score"), newest["kept"].alias("kept")),
+        F.struct((F.col("most.votes") + F.col("bonus_most")).alias("score"), most["kept"].alias("kept")),
     )
-    whole = F.col("weight") + F.greatest(F.lit(model.n_false + 1) - F.col("n_values"), F.lit(0))
-    both = fused.join(undisputed(dups), ["base_id", "field_name"])
-    sole = F.col("undisputed").isNotNull()
-    return both.select(
-        "base_id", "field_name", F.when(sole, F.col("undisputed")).otherwise(F.col("best.kept.id")).alias("id"),
-        (F.exp(F.when(sole, F.col("trusted.votes")).otherwise(F.col("best.votes"))) / whole).alias("posterior"), "n_values", sole.alias("is_undisputed"),
+    group = group.withColumn("chosen", F.array_max(options)).withColumn("top", F.greatest(F.col("chosen.score"), F.lit(0.0)))
+    top = F.col("top")
+    grown = lambda votes, bonus: F.exp(votes + bonus - top) - F.exp(votes - top)
+    whole = (
+        F.aggregate("counts", F.lit(0.0), lambda s, x: s + x["n"] * F.exp(x["votes"] - top)) + F.greatest(F.lit(model.n_false + 1) - F.col("n_values"), F.lit(0)) * F.exp(-top)
+        + grown(F.col("newest.votes"), F.col("bonus_newest")) + F.when(F.col("together"), 0.0).otherwise(grown(F.col("most.votes"), F.col("bonus_most")))
     )
+    return group.select("base_id", "field_name", F.col("chosen.kept.id").alias("id"), (F.exp(F.col("chosen.score") - top) / whole).alias("posterior"), "n_values", F.coalesce(F.col("sole") == F.col("chosen.kept.id"), F.lit(False)).alias("is_undisputed"))

@@ -15,7 +15,7 @@ def _duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The survivors that are undisputed."""
+    """The survivors by posterior that the exact check finds undisputed; it only drops rows."""
     return survivors(_duplicates(spark, folder)).filter("is_undisputed").select("base_id", "field_name", "id")
 
 

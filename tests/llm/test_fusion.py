@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from pairloom.functions.jsonx import unwrap_json
-from pairloom.llm.fusion import FIELDS, Sources, claims, duplicates, learn_sources, remaining_text, survivors
+from pairloom.llm.fusion import FIELDS, Prior, Sources, claims, duplicates, learn_sources, remaining_text, survivors
 
 SCHEMA = "base_id string, id string, confidence double, sources string, phones string, websites string, addresses string, extra string"
 
@@ -99,3 +99,21 @@ def test_values_that_say_the_same(spark):
     got = {r.id: r for r in duplicates(df, feeds(spark), golden(spark)).collect()}
     classes = lambda f: [[got[f"p{i}"][f].key for i in range(1, 6)].index(got[f"p{k}"][f].key) + 1 for k in range(1, 6)]
     assert classes("phones") == [1, 1, 3, 4, 4] and classes("websites") == [1, 1, 3, 4, 4] and classes("addresses") == [1, 1, 3, 4, 5]
+
+
+def test_posterior_decides(spark):
+    rows = [("b", f"v{k}", 0.5, source("2024-01-01", f"s{k}"), None, '["http://many.example"]', None, None) for k in range(6)]
+    rows += [("b", "last", 0.9, source("2024-02-01", "s9"), None, '["http://last.example"]', None, None)]
+    rows += [(f"c{n}", f"{n}-{k}", 0.5, source("2024-01-01", f"s{k}"), None, f'["http://{n}.example"]', None, None) for n in range(40) for k in range(6)]
+    dups = duplicates(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(f"s{k}", "UTC", "ymd") for k in range(10)], "dataset string, tz_name string, day_order string"), golden(spark))
+    told = lambda **p: {r.base_id: (r.id, r.is_undisputed) for r in survivors(dups, Prior(**p)).collect()}
+    assert told()["b"] == ("last", True)
+    assert told(both=0.0)["b"] == ("v5", False)  # six sources overrule one that is newer and more trusted
+    assert not told()["c1"][1]
+
+
+def test_five_hundred_sources(spark):
+    rows = [("b", f"v{k:03d}", 0.5, source("2024-01-01", f"s{k}"), None, '["http://a.example"]' if k < 300 else '["http://z.example"]', None, None) for k in range(500)]
+    dups = duplicates(spark.createDataFrame(rows, SCHEMA), feeds(spark), golden(spark))
+    got = survivors(dups).collect()
+    assert len(got) == 1 and got[0].id == "v299" and 0.99 < got[0].posterior <= 1.0
