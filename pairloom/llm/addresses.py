@@ -318,12 +318,11 @@ def mine_rewrites(evidence: DataFrame, support: int = 3, significance: float = 1
         counted = cut_lineage(counted)
         of_word = counted.groupBy("country", "spot", "a").agg(F.sum("n").alias("n_a"))
         apart = counted.filter(F.col("a") != F.col("b"))
-        of_spot = apart.groupBy("country", "spot").agg(F.sum("n").alias("n_apart"))
         toward = apart.groupBy("country", "spot", "b").agg(F.sum("n").alias("n_b"))
         total = counted.groupBy("country", "spot").agg(F.sum("n").alias("n_all"))
         scored = (
             apart.filter(F.col("n") >= support).join(of_word, ["country", "spot", "a"]).join(toward, ["country", "spot", "b"])
-            .join(of_spot, ["country", "spot"]).join(total, ["country", "spot"]).join(of_word.select("country", "spot", F.col("a").alias("b"), F.col("n_a").alias("all_b")), ["country", "spot", "b"])
+            .join(total, ["country", "spot"]).join(of_word.select("country", "spot", F.col("a").alias("b"), F.col("n_a").alias("all_b")), ["country", "spot", "b"])
         )
         scored = scored.filter(F.col("n") >= share * F.col("n_a"))
         found = bounded_rows(scored.select("country", "spot", "a", "b", "n", "n_a", "n_b", "n_all", "all_b"), max_rewrites, "mined rewrites")
