@@ -8,8 +8,9 @@ undone where it is clear. Annotators may copy: where one errs, judged by the oth
 same error beyond chance is their dependence, and of two agreeing opinions the dependent one counts for what is left.
 
 Items lie in partitions with all their labels, of which there are as many as annotators at most. Each pass sends
-abilities out and gets sums per annotator back; difficulties are found within the pass. Abilities, sums and the pairs of
-annotators that meet often are all that reaches the driver, and their number is checked.
+abilities out and gets sums per annotator back; difficulties are found within the pass, on flat arrays of whole batches.
+Passes end when no ability moves any more. Abilities, sums and the pairs of annotators that meet often are all that
+reaches the driver; annotators and pairs are checked against ``max_annotators`` and ``max_pairs``.
 
 Defined results: labels that say nothing, and rows without item or annotator, are no opinions; equal repeated opinions
 count once, of different ones of one annotator on one item the last by ``at`` counts, of ties the first label. Items
@@ -19,11 +20,12 @@ without opinions have no row. Ties of posteriors fall to the first label in ``la
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,28 @@ def winner(c: Column) -> Column:
 
 @dataclass
 class Model:
-    """What is known of annotators; all by annotator name."""
+    """What is known of annotators; arrays go by the number of an annotator in ``names``."""
 
     labels: tuple[str, ...]
-    ability: dict[str, float] = field(default_factory=dict)
-    roles: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    depends: dict[tuple[str, str], float] = field(default_factory=dict)
+    names: list[str] = field(default_factory=list)
     prior: np.ndarray = field(default_factory=lambda: np.ones(0))
-    rank: dict[str, int] = field(default_factory=dict)
+    abilities: np.ndarray = field(default_factory=lambda: np.ones(0))
+    meanings: np.ndarray = field(default_factory=lambda: np.ones((0, 0), int))
+    counts: np.ndarray = field(default_factory=lambda: np.ones(0))
+    #: (annotator, other, dependence): the annotator's opinions that agree with the other's count for what is left
+    copies: list[tuple[int, int, float]] = field(default_factory=list)
+
+    @property
+    def ability(self) -> dict[str, float]:
+        return dict(zip(self.names, self.abilities.tolist(), strict=True))
+
+    @property
+    def roles(self) -> dict[str, tuple[int, ...]]:
+        return {name: tuple(r) for name, r in zip(self.names, self.meanings.tolist(), strict=True)}
+
+    @property
+    def depends(self) -> dict[tuple[str, str], float]:
+        return {(self.names[a], self.names[b]): v for a, b, v in self.copies}
 
 
 def gathered(opinions: DataFrame, item: list[str]) -> DataFrame:
@@ -64,24 +80,45 @@ def gathered(opinions: DataFrame, item: list[str]) -> DataFrame:
     return last.groupBy(*item).agg(F.sort_array(F.collect_list(F.struct("annotator", F.col("o.label").alias("label")))).alias("said"))
 
 
-def _flat(batch: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Opinions of a batch: item number, annotator number, label number, the annotators, and copy weights."""
-    names: dict[str, int] = {}
+@dataclass
+class Flat:
+    """Opinions of a batch: item, annotator, label and what it is taken to mean, by number, and the weight left by copies."""
+
+    n: int
+    item: np.ndarray
+    who: np.ndarray
+    label: np.ndarray
+    meant: np.ndarray
+    ability: np.ndarray
+    weight: np.ndarray
+
+
+def _flat(batch: pa.RecordBatch, model: Model, numbers: dict[str, int]) -> Flat:
+    """The opinions of a batch as arrays; strings are looked up once per distinct one."""
+    said = batch.column(batch.schema.get_field_index("said"))
     index = {label: k for k, label in enumerate(model.labels)}
-    item, who, label, weight = [], [], [], []
-    for i, said in enumerate(batch["said"]):
-        known = [(s["annotator"], index[s["label"]]) for s in said if s["label"] in index]
-        for name, k in known:
-            item.append(i)
-            who.append(names.setdefault(name, len(names)))
-            label.append(k)
-            left = 1.0
-            if model.depends:
-                for other, j in known:
-                    if other != name and j == k and model.rank.get(other, 0) < model.rank.get(name, 0):
-                        left *= 1 - model.depends.get((name, other), 0.0)
-            weight.append(left)
-    return np.array(item, int), np.array(who, int), np.array(label, int), list(names), np.array(weight)
+    parts = said.flatten()
+
+    def coded(name: str, known: dict[str, int]) -> np.ndarray:
+        column = parts.field(name).dictionary_encode()
+        values = np.array([known.get(x, -1) for x in column.dictionary.to_pylist()] or [-1])
+        return values[column.indices.to_numpy(zero_copy_only=False)] if len(column) else np.zeros(0, int)
+
+    item = np.repeat(np.arange(len(said)), said.value_lengths().to_numpy(zero_copy_only=False)) if len(said) else np.zeros(0, int)
+    who, label = coded("annotator", numbers), coded("label", index)
+    there = (who >= 0) & (label >= 0)
+    item, who, label = item[there], who[there], label[there]
+    weight = np.ones(len(item))
+    if model.copies and len(item):
+        order = np.argsort(who, kind="stable")
+        edges = np.searchsorted(who[order], np.arange(len(model.names) + 1))
+        of = lambda a: order[edges[a] : edges[a + 1]]
+        for a, b, share in model.copies:
+            if (model.counts[b], -b) > (model.counts[a], -a):
+                _, x, y = np.intersect1d(item[of(a)], item[of(b)], assume_unique=True, return_indices=True)
+                x, y = of(a)[x], of(b)[y]
+                weight[x[label[x] == label[y]]] *= 1 - share
+    return Flat(len(said), item, who, label, model.meanings[who, label], model.abilities[who], weight)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,7 +135,7 @@ def posteriors(n: int, item: np.ndarray, ability: np.ndarray, meant: np.ndarray,
         score = np.tile(np.log(prior), (n, 1))
         low = weight * np.log((1 - s) / (k - 1) + 1e-12)
         score += np.bincount(item, low, n)[:, None]
-        np.add.at(score, (item, meant), weight * np.log(s + 1e-12) - low)
+        score += np.bincount(item * k + meant, weight * np.log(s + 1e-12) - low, n * k).reshape(n, k)
         q = np.exp(score - score.max(1, keepdims=True))
         q /= q.sum(1, keepdims=True)
         if turn < rounds - 1:
@@ -112,41 +149,43 @@ def posteriors(n: int, item: np.ndarray, ability: np.ndarray, meant: np.ndarray,
     return q, ease
 
 
-def _applied(model: Model, names: list[str], who: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ability and meant label of each opinion."""
-    k = len(model.labels)
-    ability = np.array([model.ability.get(x, 1.0) for x in names] or [1.0])
-    roles = np.array([model.roles.get(x, tuple(range(k))) for x in names] or [tuple(range(k))])
-    return ability[who], roles[who, label]
-
+def _sums(items: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all items at the current model: slope, bend and number of opinions [annotator, 3], expected confusion
+    [annotator, label, truth] and expected truths."""
+    k, n_names = len(model.labels), len(model.names)
+    width = 3 + k * k
+    schema = "who int, " + ", ".join(f"v{i} double" for i in range(width))
+    sent = items.sparkSession.sparkContext.broadcast(model)
 
-def _pass(items: DataFrame, model: Model) -> dict[str, dict]:
-    """Sums per annotator over all items at the current model."""
-    k = len(model.labels)
-    columns = ["slope", "bend", "n", *[f"c{i}_{j}" for i in range(k) for j in range(k)]]
-    schema = "annotator string, " + ", ".join(f"{c} double" for c in columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        numbers = {x: i for i, x in enumerate(model.names)}
+        total = np.zeros((n_names + 1, width))
         for batch in batches:
-            item, who, label, names, weight = _flat(batch, model)
-            if not len(item):
+            f = _flat(batch, model, numbers)
+            if not len(f.item):
                 continue
-            ability, meant = _applied(model, names, who, label)
-            q, ease = posteriors(len(batch), item, ability, meant, weight, model.prior)
-            scale = np.exp(ease[item])
-            s = _sigmoid(ability * scale)
-            m = len(names)
+            q, ease = posteriors(f.n, f.item, f.ability, f.meant, f.weight, model.prior)
+            scale = np.exp(ease[f.item])
+            s = _sigmoid(f.ability * scale)
             # An opinion that stands nearly alone on its item tells nothing of its annotator and would only slow EM down.
-            telling = weight * (np.bincount(item, weight, len(batch))[item] - weight >= 1.5)
-            out = {"annotator": names, "slope": np.bincount(who, telling * (q[item, meant] - s) * scale, m), "bend": np.bincount(who, telling * s * (1 - s) * scale**2, m), "n": np.bincount(who, minlength=m).astype(float)}
-            for i in range(k):
-                for j in range(k):
-                    out[f"c{i}_{j}"] = np.bincount(who, (label == i) * q[item, j], m)
-            yield pd.DataFrame(out)
-            yield pd.DataFrame({"annotator": [""], "n": [float(len(batch))], **{f"c0_{j}": [q[:, j].sum()] for j in range(k)}}).reindex(columns=["annotator", *columns], fill_value=0.0)
-
-    sums = items.mapInPandas(run, schema).groupBy("annotator").agg(*[F.sum(c).alias(c) for c in columns])
-    return {r.annotator: r.asDict() for r in bounded_rows(sums, 1_000_000, "annotators")}
+            telling = f.weight * (np.bincount(f.item, f.weight, f.n)[f.item] - f.weight >= 1.5)
+            cells = (telling * (q[f.item, f.meant] - s) * scale, telling * s * (1 - s) * scale**2, np.ones(len(s)))
+            for i, values in enumerate(cells):
+                total[:n_names, i] += np.bincount(f.who, values, n_names)
+            place = f.who * k + f.label
+            for j in range(k):
+                total[:n_names, 3 + j :: k] += np.bincount(place, q[f.item, j], n_names * k).reshape(n_names, k)
+            said = np.bincount(f.item, minlength=f.n) > 0
+            total[n_names, 3 : 3 + k] += q[said].sum(0)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(total[some, i]) for i in range(width)]], ["who", *[f"v{i}" for i in range(width)]])
+
+    rows = items.select("said").mapInArrow(run, schema).groupBy("who").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(width)])
+    out = np.zeros((n_names + 1, width))
+    for r in bounded_rows(rows, n_names + 1, "annotators"):
+        out[r[0]] = r[1:]
+    return out[:n_names, :3], out[:n_names, 3:].reshape(n_names, k, k), out[n_names, 3 : 3 + k]
 
 
 def _roles(confusion: np.ndarray) -> tuple[int, ...]:
@@ -158,79 +197,95 @@ def _roles(confusion: np.ndarray) -> tuple[int, ...]:
     return best if total >= 20 and found > 0.5 * total and plain < 0.3 * total else tuple(range(k))
 
 
-def _dependence(items: DataFrame, model: Model, sharp: float = 0.95, least: float = 20.0, max_pairs: int = 1_000_000) -> dict[tuple[str, str], float]:
+def _pairs_of_opinions(item: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ordered pairs of different opinions on one item, as positions; items of like many opinions side by side."""
+    starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, int)
+    sizes = np.diff(np.r_[starts, len(item)])
+    for m in np.unique(sizes[sizes > 1]):
+        x, y = np.nonzero(~np.eye(m, dtype=bool))
+        mine = starts[sizes == m]
+        step = max(1, most // len(x))
+        for low in range(0, len(mine), step):
+            at = mine[low : low + step, None]
+            yield (at + x).ravel(), (at + y).ravel()
+
+
+def _dependence(items: DataFrame, model: Model, sharp: float = 0.95, least: float = 20.0, max_pairs: int = 1_000_000) -> list[tuple[int, int, float]]:
     """Share of an annotator's errors, as the others alone see them, that another makes as well, beyond chance."""
-    schema = "a string, b string, wrong double, shared double"
+    n_names = len(model.names)
+    sent = items.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        numbers = {x: i for i, x in enumerate(model.names)}
+        k = len(model.labels)
         for batch in batches:
-            item, who, label, names, weight = _flat(batch, model)
-            if not len(item):
-                continue
-            ability, meant = _applied(model, names, who, label)
-            k = len(model.labels)
-            s = _sigmoid(ability)
+            f = _flat(batch, model, numbers)
+            s = _sigmoid(f.ability)
             # A decided item's ease speaks for the labels that decided it, so errors are judged at middling ease.
             low = np.log((1 - s) / (k - 1) + 1e-12)
             high = np.log(s + 1e-12) - low
-            score = np.tile(np.log(model.prior), (len(batch), 1))
-            score += np.bincount(item, low, len(batch))[:, None]
-            np.add.at(score, (item, meant), high)
-            starts = np.searchsorted(item, np.arange(len(batch) + 1))
-            sums: dict[tuple[int, int], list[float]] = {}
-            for i in range(len(batch)):
-                for x in range(starts[i], starts[i + 1]):
-                    for y in range(starts[i], starts[i + 1]):
-                        if x == y:
-                            continue
-                        rest = score[i] - low[x] - low[y]
-                        rest[meant[x]] -= high[x]
-                        rest[meant[y]] -= high[y]
-                        p = np.exp(rest - rest.max())
-                        if 1 - p[meant[x]] / p.sum() >= sharp:
-                            into = sums.setdefault((who[x], who[y]), [0.0, 0.0])
-                            into[0] += 1
-                            into[1] += meant[x] == meant[y]
-            yield pd.DataFrame([(names[a], names[b], *v) for (a, b), v in sums.items()], columns=["a", "b", "wrong", "shared"])
-
-    pairs = items.mapInPandas(run, schema).groupBy("a", "b").agg(F.sum("wrong").alias("wrong"), F.sum("shared").alias("shared")).filter(F.col("wrong") >= least)
-    found = {}
-    for r in bounded_rows(pairs, max_pairs, "pairs of annotators"):
-        accuracy = float(_sigmoid(np.array(model.ability.get(r.b, 1.0))))
+            score = np.log(model.prior) + np.bincount(f.item * k + f.meant, high, f.n * k).reshape(f.n, k)  # what all share falls out
+            for x, y in _pairs_of_opinions(f.item):
+                rest = score[f.item[x]]
+                rows = np.arange(len(x))
+                rest[rows, f.meant[x]] -= high[x]
+                rest[rows, f.meant[y]] -= high[y]
+                p = np.exp(rest - rest.max(1, keepdims=True))
+                wrong = 1 - p[rows, f.meant[x]] / p.sum(1) >= sharp
+                x, y = x[wrong], y[wrong]
+                keys, back = np.unique(f.who[x].astype(np.int64) * n_names + f.who[y], return_inverse=True)
+                shared = np.bincount(back, f.meant[x] == f.meant[y], len(keys)) if len(keys) else np.zeros(0)
+                count = np.bincount(back, minlength=len(keys)).astype(float) if len(keys) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count), pa.array(shared.astype(float))], ["pair", "wrong", "shared"])
+
+    pairs = items.select("said").mapInArrow(run, "pair long, wrong double, shared double").groupBy("pair").agg(F.sum("wrong").alias("wrong"), F.sum("shared").alias("shared")).filter(F.col("wrong") >= least)
+    found = []
+    for r in sorted(bounded_rows(pairs, max_pairs, "pairs of annotators")):
+        a, b = divmod(r.pair, n_names)
+        accuracy = float(_sigmoid(model.abilities[b : b + 1])[0])
         chance = (1 - accuracy) / (len(model.labels) - 1)
         excess = (r.shared / r.wrong - chance) / (1 - chance)
         if excess > 0.5 and r.shared > r.wrong * chance + 5 * (r.wrong * chance * (1 - chance)) ** 0.5 + 2:
-            found[(r.a, r.b)] = min(float(excess), 0.98)
+            found.append((a, b, min(float(excess), 0.98)))
     return found
 
 
-def fit(items: DataFrame, labels: tuple[str, ...] = LABELS, passes: int = 6, stages: int = 3) -> Model:
-    """Learn the model from ``items`` (see ``gathered``); roles and dependence are looked at again after each stage."""
-    items = cut_lineage(items)
+def fit(items: DataFrame, labels: tuple[str, ...] = LABELS, tolerance: float = 0.02, most_passes: int = 40, stages: int = 3, max_annotators: int = 100_000) -> Model:
+    """Learn the model from ``items`` (see ``gathered``), which are read once a pass and should be written before.
+
+    A stage ends when no ability moves by ``tolerance`` or more, roles and dependence are looked at again between
+    stages, and the last stage is the one after which they stand or the ``stages``-th. A warning tells if a stage did
+    not settle within ``most_passes``.
+    """
     k = len(labels)
-    model = Model(labels, prior=np.full(k, 1 / k))
+    names = sorted(r[0] for r in bounded_rows(items.select(F.explode("said.annotator")).distinct(), max_annotators, "annotators"))
+    n = len(names)
+    model = Model(labels, names, np.full(k, 1 / k), np.ones(n), np.tile(np.arange(k), (n, 1)), np.zeros(n))
+    if not n:
+        return model
     for stage in range(stages):
-        for _ in range(passes):
-            sums = _pass(items, model)
-            whole = sums.pop("", None)
-            if not whole:
-                return model
-            counts = np.array([whole[f"c0_{j}"] for j in range(k)])
-            model.prior = (counts + 1) / (counts.sum() + k)
-            for name, r in sums.items():
-                a = model.ability.get(name, 1.0)
-                step = (r["slope"] - (a - 1)) / (r["bend"] + 1)
-                model.ability[name] = float(np.clip(a + np.clip(step, -1, 1), -6, 6))
-                model.rank[name] = -int(r["n"])
-        order = sorted(model.rank, key=lambda x: (model.rank[x], x))
-        model.rank = {x: i for i, x in enumerate(order)}
+        for _ in range(most_passes):
+            sums, confusion, truths = _sums(items, model)
+            model.prior = (truths + 1) / (truths.sum() + k)
+            step = (sums[:, 0] - (model.abilities - 1)) / (sums[:, 1] + 1)
+            fresh = np.clip(model.abilities + np.clip(step, -1, 1), -6, 6)
+            moved = float(np.abs(fresh - model.abilities).max())
+            model.abilities, model.counts = fresh, confusion.sum((1, 2)).round()
+            if moved < tolerance:
+                break
+        else:
+            warnings.warn(f"abilities still move by {moved:.3f} after {most_passes} passes", stacklevel=2)
         if stage == stages - 1:
             break
-        for name, r in sums.items():
-            roles = _roles(np.array([[r[f"c{i}_{j}"] for j in range(k)] for i in range(k)]))
-            if roles != model.roles.get(name, tuple(range(k))):
-                model.roles[name], model.ability[name] = roles, 1.0
-        model.depends = _dependence(items, model)
+        roles = np.array([_roles(c) for c in confusion])
+        turned = (roles != model.meanings).any(1)
+        model.meanings, model.abilities = roles, np.where(turned, 1.0, model.abilities)
+        copies = _dependence(items, model)
+        settled = not turned.any() and [c[:2] for c in copies] == [c[:2] for c in model.copies]
+        model.copies = copies
+        if settled:
+            break
     return model
 
 
@@ -243,26 +298,27 @@ def decide(items: DataFrame, item: list[str], model: Model) -> DataFrame:
     chance = float((model.prior**2).sum())
     types = dict(items.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in item) + ", winner string, posterior double, difficulty double, n_annotators int, agreement double"
+    sent = items.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        numbers = {x: i for i, x in enumerate(model.names)}
+        names, k = np.array(model.labels, dtype=object), len(model.labels)
         for batch in batches:
-            at, who, label, names, weight = _flat(batch, model)
-            n = len(batch)
-            if not n:
+            f = _flat(batch, model, numbers)
+            if not len(f.item):
                 continue
-            ability, meant = _applied(model, names, who, label)
-            q, ease = posteriors(n, at, ability, meant, weight, model.prior, rounds=8)
-            count = np.bincount(at, minlength=n)
-            same = sum(np.bincount(at, label == k, n) * (np.bincount(at, label == k, n) - 1) for k in range(len(model.labels)))
+            q, ease = posteriors(f.n, f.item, f.ability, f.meant, f.weight, model.prior, rounds=8)
+            of_label = np.bincount(f.item * k + f.label, minlength=f.n * k).reshape(f.n, k)
+            count = of_label.sum(1)
             pairs = count * (count - 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                agree = np.where(pairs > 0, (same / pairs - chance) / (1 - chance), np.nan)
-            out = batch[item].copy()
-            out["winner"] = [model.labels[k] for k in q.argmax(1)]
-            out["posterior"], out["difficulty"], out["n_annotators"], out["agreement"] = q.max(1), np.exp(-ease), count.astype(np.int32), pd.Series(agree, index=out.index).astype(object).where(pairs > 0, None)
-            yield out[count > 0]
+            agree = ((of_label * (of_label - 1)).sum(1) / np.maximum(pairs, 1) - chance) / (1 - chance)
+            there = np.flatnonzero(count)
+            keys = [batch.column(batch.schema.get_field_index(c)).take(pa.array(there)) for c in item]
+            cells = [pa.array(names[q.argmax(1)[there]], pa.string()), pa.array(q.max(1)[there]), pa.array(np.exp(-ease)[there]), pa.array(count[there].astype(np.int32)), pa.array(agree[there], mask=(pairs == 0)[there])]
+            yield pa.RecordBatch.from_arrays([*keys, *cells], [*item, "winner", "posterior", "difficulty", "n_annotators", "agreement"])
 
-    return items.select(*item, "said").mapInPandas(run, schema)
+    return items.select(*item, "said").mapInArrow(run, schema)
 
 
 def reliabilities(items: DataFrame, consensus: DataFrame, item: list[str], model: Model) -> DataFrame:
@@ -274,11 +330,11 @@ def reliabilities(items: DataFrame, consensus: DataFrame, item: list[str], model
     spark = items.sparkSession
     plain = tuple(range(len(model.labels)))
     rows = []
-    for name, ability in model.ability.items():
-        roles = model.roles.get(name, plain)
-        told = None if roles == plain else ", ".join(f"{model.labels[i]}={model.labels[j]}" for i, j in enumerate(roles) if i != j)
-        copied = [(v, b) for (a, b), v in model.depends.items() if a == name and model.rank.get(b, 0) < model.rank.get(name, 0)]
-        rows.append((name, ability, told, max(copied)[1] if copied else None))
+    for i, name in enumerate(model.names):
+        roles = tuple(model.meanings[i].tolist())
+        told = None if roles == plain else ", ".join(f"{model.labels[x]}={model.labels[y]}" for x, y in enumerate(roles) if x != y)
+        copied = [(v, model.names[b]) for a, b, v in model.copies if a == i and (model.counts[b], -b) > (model.counts[a], -a)]
+        rows.append((name, float(model.abilities[i]), told, max(copied)[1] if copied else None))
     known = spark.createDataFrame(rows, "annotator string, ability double, roles string, copies string")
     said = items.select(*item, F.explode("said").alias("s")).select(*item, "s.annotator", "s.label").join(consensus.select(*item, "winner"), item)
     cells = said.groupBy("annotator", "label", "winner").agg(F.count(F.lit(1)).alias("n"))
