@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pairloom.llm.pii_graph import fastest
 from pairloom.llm.pii_model import Tagger, tag_texts
 from pairloom.llm.pii_training import _EMAIL, _EMAIL_WORDS, SHAPES, TITLES
 
@@ -77,26 +78,25 @@ def spans_of(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]
 def model() -> Tagger:
     """The trained tagger, loaded once per process."""
     if "tagger" not in _READY:
-        _READY["tagger"] = Tagger.load()
+        _READY["tagger"] = fastest(Tagger.load())
     return _READY["tagger"]
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: reading a text costs far less than tagging it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` over so many partitions; reading a text costs far less than tagging it, so few large files are spread."""
+    return df.repartition(partitions) if partitions else df
 
 
-def find_pii(df: DataFrame, key: str, text: str) -> DataFrame:
+def find_pii(df: DataFrame, key: str, text: str, partitions: int | None = None) -> DataFrame:
     """(key, pii_type, start_pos, end_pos) of every occurrence in the column ``text``."""
     kind = dict(df.dtypes)[key]
-    slim = _spread(df).select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.regexp_like("__text", F.lit(r"[\p{L}\p{N}]")))
+    slim = _spread(df, partitions).select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.regexp_like("__text", F.lit(r"[\p{L}\p{N}]")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = model()
         for batch in batches:
-            for low in range(0, batch.num_rows, 4_000):
-                part = batch.slice(low, 4_000)
+            for low in range(0, batch.num_rows, 1_000):
+                part = batch.slice(low, 1_000)
                 texts = part.column(1).to_pylist()
                 found = spans_of(tagger, texts)
                 at = [i for i, spans in enumerate(found) for _ in spans]
@@ -109,7 +109,7 @@ def find_pii(df: DataFrame, key: str, text: str) -> DataFrame:
     return slim.mapInArrow(run, f"key {kind}, pii_type string, start_pos int, end_pos int").withColumnRenamed("key", key)
 
 
-def redact(df: DataFrame, text: str, into: str = "redacted") -> DataFrame:
+def redact(df: DataFrame, text: str, into: str = "redacted", partitions: int | None = None) -> DataFrame:
     """Add ``into``: the text with a typed placeholder in place of every occurrence; NULL stays NULL."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -125,4 +125,4 @@ def redact(df: DataFrame, text: str, into: str = "redacted") -> DataFrame:
                 out.append(None if raw is None else "".join([*pieces, t[last:]]))
             yield pd.Series(out, dtype=object)
 
-    return _spread(df).withColumn(into, F.pandas_udf(run, StringType())(F.col(text)))
+    return _spread(df, partitions).withColumn(into, F.pandas_udf(run, StringType())(F.col(text)))

@@ -242,34 +242,68 @@ def allowed() -> np.ndarray:
 def best_paths(score: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Best tags [B, T] of scores [B, T, K] that stand between outside tags, with the forbidden orders left out."""
     b, t, _ = score.shape
-    order = np.where(allowed(), order, -1e9)
-    first, turned = order[0], np.ascontiguousarray(order.T)[None]
-    at, back = score[:, 0] + first, np.zeros((b, t, K), np.int8)
+    order = np.where(allowed(), order, -1e9).astype(np.float32)
+    score = np.ascontiguousarray(score.transpose(1, 2, 0))  # texts last, so that every step runs along them
+    best = np.empty((t, K, b), np.float32)
+    best[0] = score[0] + order[0][:, None]
+    total = np.empty((K, K, b), np.float32)
     for i in range(1, t):
-        total = at[:, None, :] + turned
-        back[:, i] = total.argmax(2)
-        at = total.max(2) + score[:, i]
+        np.add(best[i - 1][:, None, :], order[:, :, None], out=total)
+        np.max(total, axis=0, out=best[i])
+        best[i] += score[i]
     out = np.zeros((b, t), int)
-    out[:, -1] = (at + order[:, 0]).argmax(1)
+    out[:, -1] = (best[-1] + order[:, 0][:, None]).argmax(0)
     for i in range(t - 1, 0, -1):
-        out[:, i - 1] = back[np.arange(b), i, out[:, i]]
+        out[:, i - 1] = (best[i - 1] + order[:, out[:, i]]).argmax(0)
     return out
 
 
 #: Window lengths; text longer than the last is read in windows of it that overlap by twice the margin.
 WINDOWS, MARGIN, BATCH = (64, 128, 192, 256), 48, 512
 
-#: Characters whose paths are sought side by side.
-PATH_CELLS = 400_000
+#: Characters whose paths are sought side by side, and whose scores are held at once.
+PATH_CELLS, TEXT_CELLS = 400_000, 400_000
 
+#: A text longer than the first is read in pieces of it that overlap by the second.
+LONGEST, OVERLAP = 200_000, 2_000
 
-def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans (type, start, end) of every text, in code points.
+#: A search for spans ends where outside leads by ``CLEAR`` nats beside all that the tags' order can add, for twice
+#: ``EDGE`` characters.
+CLEAR, EDGE = 0.3, 16
+
+
+def open_stretches(scores: list[np.ndarray], order: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, start, end) of the stretches of scores [T, K] that have to be searched; all else is outside.
 
-    Each position takes its scores from the window in which it lies farthest from an edge; then one best path is found
-    for the whole text.
+    Of the stretches between clear ones those are dropped in which no span can pay: a span begins with a tag B, so its
+    gain over outside is at most that of the best B and of all positions at which an inner tag gains.
     """
-    coded = [codes(t) for t in texts]
+    sizes = [len(x) for x in scores]
+    if not sum(sizes):
+        return []
+    every = np.concatenate(scores)
+    text = np.repeat(np.arange(len(scores)), sizes)
+    first = np.cumsum([0, *sizes])
+    outside = order[0, 0]
+    inner = float(np.where(allowed()[:, 2::2], order[:, 2::2], -np.inf).max() - outside)
+    ends = max(0.0, float(order[:, 1::2].max() - outside) + max(0.0, float(order[:, 0].max() - outside)))
+    opens, goes_on = every[:, 1::2].max(1) - every[:, 0] + ends, every[:, 2::2].max(1) - every[:, 0] + inner
+    live = np.flatnonzero((goes_on > -CLEAR) | (opens > 0))
+    if not len(live):
+        return []
+    apart = np.flatnonzero((np.diff(live) > 2 * EDGE) | (np.diff(text[live]) > 0))
+    a, z = live[np.r_[0, apart + 1]], live[np.r_[apart, len(live) - 1]]
+    a, z = np.maximum(a - EDGE, first[text[a]]), np.minimum(z + EDGE + 1, first[text[a] + 1])
+    cuts = np.ravel(np.column_stack((a, z)))
+    padded = lambda x: np.append(x, 0.0)
+    gain = np.add.reduceat(padded(np.maximum(goes_on, 0)), cuts)[::2] + np.maximum.reduceat(padded(opens), cuts)[::2]
+    a, z = a[gain > 0], z[gain > 0]
+    k = text[a]
+    return list(zip(k.tolist(), (a - first[k]).tolist(), (z - first[k]).tolist(), strict=True))
+
+
+def _scored(model: Tagger, coded: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Scores [T, K] of every text; each position takes those of the window in which it lies farthest from an edge."""
     jobs: dict[int, list[tuple[int, int, int, int]]] = {w: [] for w in WINDOWS}
     for k, (s, _) in enumerate(coded):
         n = len(s)
@@ -297,21 +331,59 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]
             found = model.scores(symbols, classes)
             for j, (k, start, a, z) in enumerate(part):
                 scores[k][a:z] = found[a - start : z - start, j]
+    return scores
+
+
+def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Spans of texts that are tagged side by side."""
+    scores = _scored(model, [codes(t) for t in texts])
+    order = model.p["order"]
+    stretches = open_stretches(scores, order)
+    pieces, where = [scores[k][a:z] for k, a, z in stretches], [(k, a) for k, a, _ in stretches]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    todo = sorted((k for k in range(len(texts)) if len(scores[k])), key=lambda k: len(scores[k]))
-    while todo:  # texts of like length side by side; what is filled up is outside
-        longest = len(scores[todo[-1]])
+    todo = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+    opens = np.array([x[0] == "B" for x in TAGS])
+    while todo:  # stretches of like length side by side; what is filled up is outside
+        longest = len(pieces[todo[-1]])
         n = max(1, min(len(todo), PATH_CELLS // longest))
+        while n > 1 and len(pieces[todo[-n]]) < 0.7 * longest:
+            n -= 1
         part, todo = todo[-n:], todo[:-n]
         table = np.zeros((n, longest, K), np.float32)
         table[:, :, 0] = 100
         for j, k in enumerate(part):
-            table[j, : len(scores[k])] = scores[k]
-        tags = best_paths(table, model.p["order"])
-        starts = [x[0] == "B" for x in TAGS]
-        for j, at in zip(*np.nonzero(np.array(starts)[tags]), strict=True):
+            table[j, : len(pieces[k])] = pieces[k]
+        tags = best_paths(table, order)
+        for j, at in zip(*np.nonzero(opens[tags]), strict=True):
             kind, end = TAGS[tags[j, at]][2:], at + 1
             while end < longest and tags[j, end] == tags[j, at] + 1:
                 end += 1
-            out[part[j]].append((kind, int(at), int(end)))
+            k, shift = where[part[j]]
+            out[k].append((kind, int(at) + shift, int(end) + shift))
     return [sorted(x, key=lambda s: s[1]) for x in out]
+
+
+def tag_texts(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Spans (type, start, end) of every text, in code points.
+
+    Windows overlap and one best path is found for the whole text. Texts are taken together by their characters, and
+    very long ones in overlapping pieces, so that memory does not grow with the length of texts or batches.
+    """
+    pieces: list[tuple[int, int, str]] = []
+    for k, text in enumerate(texts):
+        step = LONGEST - OVERLAP
+        pieces += [(k, at, text[at : at + LONGEST]) for at in range(0, max(1, len(text) - OVERLAP), step)] if len(text) > LONGEST else [(k, 0, text)]
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    low = 0
+    while low < len(pieces):
+        high, held = low, 0
+        while high < len(pieces) and (high == low or held + len(pieces[high][2]) <= TEXT_CELLS):
+            held += len(pieces[high][2])
+            high += 1
+        part = pieces[low:high]
+        for (k, at, piece), spans in zip(part, _tagged(model, [p for _, _, p in part]), strict=True):
+            first = OVERLAP // 2 if at else 0
+            last = len(piece) - OVERLAP // 2 if at + len(piece) < len(texts[k]) else len(piece)
+            out[k] += [(kind, a + at, z + at) for kind, a, z in spans if first <= a < last]
+        low = high
+    return out

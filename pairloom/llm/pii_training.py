@@ -1,26 +1,32 @@
 """Labelled spans and training of the character tagger.
 
-Labels come from a bounded sample of documents in which sentence frames, fixed cue phrases among them, are recognised.
-No texts are made up. A phone, identity number, street or person outside the listed cues is trained as outside, and how
-many of those the tagger finds is not measured.
-``python -m pairloom.llm.pii_training DOCUMENTS`` trains on at most
-``SAMPLE`` documents and writes the weights that the operator loads.
+Half of the labelled texts are made up by ``pii_frames``: frames of five languages with slots, in which contexts, names
+and value forms vary freely. The other half are windows of a bounded sample of documents, where spans are recognised by
+fixed cue phrases; their values are respelt, and what stands outside the cues is trained as outside.
+``python -m pairloom.llm.pii_training DOCUMENTS [STEPS]`` trains on at most ``SAMPLE`` documents for a set number of
+steps with a set seed and writes the weights that the operator loads; ``WORKERS`` processes share each step and their
+gradients are added in order, so a run can be repeated.
 """
 
 from __future__ import annotations
 
+import multiprocessing
 import random
 import re
 import sys
-import time
+from collections.abc import Iterator
 
 import numpy as np
 
+from pairloom.llm.pii_frames import made as made_text
 from pairloom.llm.pii_model import TAGS, Adam, Tagger, codes
 
 #: The bound on the labelled rows that training reads.
 SAMPLE = 8_000
 
+#: Processes that share a step, windows of each, characters of a window.
+WORKERS, SHARE, SIZE = 8, 40, 128
+
 #: Words that come before a value, by type; a value is what follows and has the type's shape.
 CUES = {
     "phone": r"(?:ring|call me back on|can text|mich unter|nummer ist|num[ée]ro reste le|rappelez-moi au|liguem para|m[óo]vil es|ll[áa]menme al|meu zap [ée]|appelez le|tel\.?|phone)\s",
@@ -111,8 +117,9 @@ def varied(text: str, spans: list[tuple[str, int, int]], rng: random.Random) ->
     return made, moved
 
 
-def windows(texts: list[str], size: int, rng: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training windows [T, N] of symbols, classes and tags: around every span, and as many without one."""
+def windows(texts: list[str], size: int, rng: random.Random, n_made: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training windows [T, N] of symbols, classes and tags: around every span, and as many without one; and of
+    ``n_made`` made-up texts."""
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(text: str, spans: list[tuple[str, int, int]], start: int) -> None:
@@ -137,37 +144,70 @@ def windows(texts: list[str], size: int, rng: random.Random) -> tuple[np.ndarray
         for _ in range(1 if not spans else 1 + (len(text) > 600)):
             at = rng.choice(numbers) - size // 2 if numbers and rng.random() < 0.8 else rng.randrange(max(1, len(text)))
             add(text, spans, max(0, min(at, len(text) - size)))
+    for _ in range(n_made):
+        text, spans = made_text(rng)
+        add(text, spans, max(0, rng.randrange(0, max(1, len(text) - size + 1))))
     rng.shuffle(rows)
     return tuple(np.stack([r[i] for r in rows], 1) for i in range(3))
 
 
-def train(texts: list[str], minutes: float = 6.0, size: int = 144, batch: int = 96, hidden: int = 40, seed: int = 7, rate: float = 0.006, start: Tagger | None = None, tell: bool = True) -> Tagger:
-    """Train for a set time on windows of the texts; the rate falls as time goes. ``start`` is a model to go on from."""
+def _batches(texts: list[str], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of one worker without end, half from the texts and half made up."""
     rng = random.Random(seed)
-    model = start or Tagger(hidden, seed=seed)
-    adam, began, n, seen = Adam(model), time.time(), 0, 0.0
     while True:
-        s, c, t = windows(texts, size, rng)
-        for low in range(0, s.shape[1] - batch + 1, batch):
-            gone = (time.time() - began) / (60 * minutes)
-            if gone >= 1:
-                return model
-            adam.rate = rate * (1 - gone) + 0.0002
-            loss, grads = model.loss(s[:, low : low + batch], c[:, low : low + batch], t[:, low : low + batch])
-            adam.step(model, grads)
-            n, seen = n + 1, 0.98 * seen + 0.02 * loss
-            if tell and n % 50 == 0:
-                print(n, round(gone, 2), round(seen / (1 - 0.98**n), 3), flush=True)
-
-
-def main(path: str, minutes: float = 6.0, go_on: bool = False) -> None:
-    """Train on a documents table and write the weights; ``go_on`` starts from the weights there are."""
+        some = rng.sample(texts, min(len(texts), 150))
+        real = windows(some, SIZE, rng)
+        n = real[0].shape[1]
+        half = SHARE // 2
+        fresh = windows([], SIZE, rng, n // half * half) if n >= half else windows([], SIZE, rng, SHARE)
+        for low in range(0, max(n // half, 1) * half if n >= half else 0, half):
+            yield tuple(np.concatenate((x[:, low : low + half], y[:, low : low + half]), 1) for x, y in zip(real, fresh, strict=True))
+        if n < half:
+            yield fresh
+
+
+def _work(pipe: object, texts: list[str], seed: int, hidden: int) -> None:
+    """Answer every set of weights with the gradients of the next batch."""
+    model, batches = Tagger(hidden), _batches(texts, seed)
+    while (weights := pipe.recv()) is not None:
+        model.p = weights
+        pipe.send(model.loss(*next(batches)))
+
+
+def train(texts: list[str], steps: int, hidden: int = 40, seed: int = 7, rate: float = 0.006, workers: int = WORKERS, tell: bool = True) -> Tagger:
+    """Train for ``steps`` steps; the rate falls as they go."""
+    model = Tagger(hidden, seed=seed)
+    adam, seen = Adam(model), 0.0
+    context = multiprocessing.get_context("fork")
+    ends, processes = [], []
+    for w in range(workers):
+        mine, theirs = context.Pipe()
+        processes.append(context.Process(target=_work, args=(theirs, texts[w::workers], seed * 1000 + w, hidden), daemon=True))
+        ends.append(mine)
+        processes[-1].start()
+    for n in range(1, steps + 1):
+        for end in ends:
+            end.send(model.p)
+        answers = [end.recv() for end in ends]
+        adam.rate = rate * min(1.0, n / 50) * (1 - n / steps) + 0.0002
+        adam.step(model, {k: sum(g[k] for _, g in answers) / workers for k in model.p})
+        seen = 0.98 * seen + 0.02 * sum(loss for loss, _ in answers) / workers
+        if tell and n % 100 == 0:
+            print(n, round(seen / (1 - 0.98**n), 3), flush=True)
+    for end, process in zip(ends, processes, strict=True):
+        end.send(None)
+        process.join()
+    return model
+
+
+def main(path: str, steps: int = 1_800) -> None:
+    """Train on a documents table and write the weights."""
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
     random.Random(1).shuffle(texts)
-    train(texts[:SAMPLE], minutes, seed=11 if go_on else 7, rate=0.003 if go_on else 0.006, start=Tagger.load() if go_on else None).save()
+    train(texts[:SAMPLE], steps).save()
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 6.0, "go-on" in sys.argv)
+    main(sys.argv[1], *map(int, sys.argv[2:3]))

@@ -9,26 +9,34 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairloom.llm.pii import find_pii, model, redact, spans_of
-from pairloom.llm.pii_model import K, TAGS, Tagger, allowed, best_paths, codes, tag_texts
+from pairloom.llm.pii_frames import plain, with_value
+from pairloom.llm.pii_model import K, TAGS, TYPES, Tagger, allowed, best_paths, codes, tag_texts
 from pairloom.llm.pii_training import labelled, windows
 
-FRAMES = {
-    "phone": ("Call me back on {} about the deposit.", ["+1 {:03d} 555 01{:02d}", "0044-163-296{:02d}{:02d}", "07700900{:02d}{:02d}"[:22]]), "idnum": ("They copied my passport {} without asking.", ["X{:04d}{:04d}", "666-{:02d}-{:04d}"]),
-    "email": ("Send the refund to {} please.", ["kolm{:02d}@mailhut.test", "a.wend{:02d} (at) post dot kurzweg dot test"]), "street": ("I live at {}, so it is my local.", ["{:d} Wexcombe Road", "{:d} Mottwick Lane"]),
-    "person": ("Ask for {}, who knows the place inside out.", ["Clara Brackmoor", "Henrik Strathley", "Orlova, Nadia"]),
+SEEN = ("It was fine. The receipt came from kolm77@mailhut.example, oddly. We came back.", "email", 35)
+
+#: Contexts that are neither among the frames nor among the cues of training.
+HELD_OUT = {
+    "person": {
+        "en": ["The portrait by {} hangs in the lobby", "Kudos go to {} behind the bar", "We shared a table with {} from Leeds", "I later learnt that {} runs the kitchen", "Shout-out to {}, you made our day", "They blamed {} for the mix-up"],
+        "de": ["Das Bild stammt von {}", "Ein Lob für {} hinter der Theke", "Später erfuhr ich, dass {} die Küche leitet"], "fr": ["Bravo à {} derrière le bar", "La photo est de {}", "On a partagé la table avec {}"],
+        "es": ["Un aplauso para {} en la barra", "La foto es de {}", "Compartimos mesa con {}"], "pt": ["Parabéns para {} no bar", "A foto é de {}", "Dividimos a mesa com {}"],
+    },
+    "phone": {"en": ["The card shows {} as their landline", "Give {} a buzz", "Lost and found answers on {}"], "de": ["Auf der Karte steht {}", "Erreichbar unter {}"], "fr": ["La carte indique {}", "Joignable au {}"], "es": ["En la tarjeta pone {}", "Localizable en el {}"], "pt": ["No cartão consta {}", "Atendem no {}"]},
+    "idnum": {"en": ["Security kept my passport, {}, for an hour", "The form already showed my SSN {}"], "de": ["Im Formular stand mein Ausweis {}"], "fr": ["Le formulaire montrait mon passeport {}"], "es": ["En el formulario salía mi DNI {}"], "pt": ["No formulário aparecia meu CPF {}"]},
+    "street": {"en": ["A second branch opened at {}", "Parking is behind {}", "The cab dropped us at {}"], "de": ["Eine Filiale gibt es in der {}", "Parken kann man hinter {}"], "fr": ["Une autre boutique a ouvert au {}", "Le taxi nous a laissés au {}"], "es": ["Abrieron otra tienda en {}", "El taxi nos dejó en {}"], "pt": ["Abriram outra loja na {}", "O táxi nos deixou na {}"]},
+    "email": {"en": ["The receipt came from {}", "Newsletter sender {}"], "de": ["Absender war {}"], "fr": ["L'expéditeur était {}"], "es": ["El remitente era {}"], "pt": ["O remetente era {}"]},
 }
-PLAIN = ["Booking reference {} was sent straight away.", "Voucher 12-34-{}789 ran out on 31.12.2024.", "Parking costs ${} an hour.", "My complaint no. 2024-{} was ignored.", "It replaced the old shop on Harbour Street."]
 
 
 def made(n, seed):
+    """Texts with one value in a held-out context, and where it begins."""
     rng = random.Random(seed)
-    for _ in range(n):
-        kind = rng.choice(list(FRAMES))
-        frame, values = FRAMES[kind]
-        value = rng.choice(values).format(*(rng.randrange(1, 99) for _ in range(4)))
-        before = rng.choice(PLAIN).format(rng.randrange(10**6))
-        text = before + " " + frame.format(value) + " " + rng.choice(PLAIN).format(rng.randrange(10**6))
-        yield text, (kind, len(before) + 1 + frame.index("{}"))
+    for k in range(n):
+        kind, lang = TYPES[k % len(TYPES)], rng.choice(("en", "en", "de", "fr", "es", "pt"))
+        piece, spans = with_value(rng, kind, lang, HELD_OUT[kind][lang])
+        before, after = plain(rng, lang) + ". ", ". " + plain(rng, lang) + "."
+        yield before + piece + after, [(k, a + len(before)) for k, a, _ in spans]
 
 
 def test_gradients_are_right():
@@ -57,16 +65,43 @@ def test_best_path_against_all_paths():
     assert tuple(best_paths(score, order)[0]) == best
 
 
-def test_held_out_accuracy():
-    rows = list(made(400, 9))
+def test_held_out_contexts():
+    rows = list(made(1_500, 9))
     found = spans_of(model(), [t for t, _ in rows])
-    hits = sum(any((k, a) == want for k, a, _ in spans) for spans, (_, want) in zip(found, rows, strict=True))
-    extra = sum(len(spans) for spans in found) - hits
-    assert hits >= 0.9 * len(rows) and extra <= 0.08 * len(rows)
+    asked, hits, extra = dict.fromkeys(TYPES, 0), dict.fromkeys(TYPES, 0), 0
+    for spans, (_, wanted) in zip(found, rows, strict=True):
+        got = {(k, a) for k, a, _ in spans}
+        for kind, at in wanted:
+            asked[kind] += 1
+            hits[kind] += (kind, at) in got
+        extra += len(got - set(wanted))
+    recall = {k: hits[k] / asked[k] for k in TYPES}
+    print(recall, extra)
+    assert min(recall.values()) >= 0.9 and extra <= 0.06 * len(rows)
+
+
+def test_open_stretches_lose_nothing(monkeypatch):
+    from pairloom.llm import pii_model
+
+    texts = [t for t, _ in made(200, 3)] + ["The bread was wonderful. " * 300]
+    mine = tag_texts(model(), texts)
+    monkeypatch.setattr(pii_model, "CLEAR", 1e6)
+    assert mine == tag_texts(model(), texts)
+
+
+def test_graph_agrees_with_numpy_and_pieces_with_whole(monkeypatch):
+    from pairloom.llm import pii_model
+
+    texts = ["Nothing to see. " * 40 + t for t, _ in made(20, 6)]
+    mine = tag_texts(model(), texts)
+    assert mine == tag_texts(Tagger.load(), texts)
+    monkeypatch.setattr(pii_model, "LONGEST", 500)
+    monkeypatch.setattr(pii_model, "OVERLAP", 400)
+    assert mine == tag_texts(model(), texts)
 
 
 def test_windows_agree_with_whole_text():
-    text, (kind, at) = next(iter(made(1, 4)))
+    text, kind, at = SEEN
     long = "The bread was wonderful. " * 800 + text
     shift = len(long) - len(text)
     whole = [(k, a - shift) for k, a, _ in spans_of(model(), [long])[0]]
@@ -75,7 +110,7 @@ def test_windows_agree_with_whole_text():
 
 
 def test_operator_edges(spark):
-    text, (kind, at) = next(iter(made(1, 5)))
+    text, kind, at = SEEN
     rows = [(1, text, "k"), (2, None, "k"), (3, "", "k"), (4, "!!! 👍", "k"), (5, "😀 " + text, "k"), (5, "😀 " + text, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_type string")
     got = [(r.doc_id, r.pii_type, r.start_pos) for r in find_pii(df, "doc_id", "text").collect()]
