@@ -29,11 +29,11 @@ TITLED = {"en": "Mr. |Mrs. |Ms |Dr. |", "de": "Herr |Frau |Dr. |", "fr": "M. |Mm
 
 FRAMES = {
     "person": {
-        "en": ["The cake was made by {}", "{} and her team looked after us all night", "We were greeted by {} at the door", "A big thank you to {} for the upgrade", "Please pass this on to {}", "My server {} was lovely", "I spoke with {} about the bill", "{}, the owner, came to our table", "The chef, {}, explained each dish", "Booked through {} as always", "It was {} who found my scarf", "Reported it to {} and nothing happened", "Best haircut ever, by {}", "— {}", "Regards,\n{}", "Ask to speak to {}", "{} was rude to my mother", "According to {}, the kitchen closes early", "A certain {} refused to help", "Both {} and I got ill afterwards", "Dentist {} was gentle", "Owner's name is {}", "Reviewed by {}", "Cheers {}!", "Signed: {}"],
-        "de": ["Besonderer Dank gilt {}", "{} hat uns sehr nett beraten", "Der Kellner {} war unfreundlich", "Wir wurden von {} bedient", "Beschwerde ging an {}", "Laut {} war alles ausgebucht", "Gekocht hat {}", "Mit freundlichen Grüßen\n{}", "Liebe Grüße von {}", "Die Chefin, {}, kam an den Tisch", "Termin bei {} gehabt", "Ein gewisser {} legte einfach auf", "LG {}", "Am Empfang saß {}", "Meine Friseurin {} ist die beste"],
-        "fr": ["Un grand merci à {} pour son accueil", "Nous avons été servis par {}", "{} nous a très bien conseillés", "J'ai parlé avec {} de la note", "Le patron, {}, est venu à table", "Bien à vous,\n{}", "Le gâteau a été fait par {}", "Adressez-vous à {}", "Le docteur {} est patient", "Signé : {}", "Selon {}, c'était complet", "{} a été désagréable avec ma mère", "Rendez-vous pris avec {}", "Une certaine {} a raccroché"],
-        "es": ["Muchas gracias a {} por todo", "Nos atendieron {} y su equipo", "{} fue muy amable", "Hablé con {} sobre la cuenta", "El dueño, {}, vino a la mesa", "Atentamente,\n{}", "La tarta la hizo {}", "Según {}, estaba lleno", "Cita con {} a las diez", "Un tal {} me colgó", "Saludos de {}", "Firmado: {}", "El camarero {} era antipático", "Recomiendo a {} sin duda"],
-        "pt": ["Muito obrigado a {} pela atenção", "Fomos servidos por {}", "{} foi muito simpática", "Falei com {} sobre a conta", "O dono, {}, veio à mesa", "Atenciosamente,\n{}", "O bolo foi feito por {}", "Segundo {}, estava cheio", "Consulta com {} na terça", "Um tal de {} desligou", "Beijos, {}", "Assinado: {}", "O garçom {} era grosso", "Recomendo {} de olhos fechados"],
+        "en": ["The cake was made by {}", "{} and her team looked after us all night", "We were greeted by {} at the door", "A big thank you to {} for the upgrade", "Please pass this on to {}", "My server {} was lovely", "I spoke with {} about the bill", "{}, the owner, came to our table", "The chef, {}, explained each dish", "Booked through {} as always", "It was {} who found my scarf", "Reported it to {} and nothing happened", "Best haircut ever, by {}", "— {}", "Regards,\n{}", "Ask to speak to {}", "{} was rude to my mother", "According to {}, the kitchen closes early", "A certain {} refused to help", "Both {} and I got ill afterwards", "Dentist {} was gentle", "Owner's name is {}", "Reviewed by {}", "Cheers {}!", "Signed: {}", "I went with {} and two friends", "They sacked {} last week", "Why did {} leave", "Compliments to {} in the kitchen", "My cousin {} from Dublin hated it", "{} plays the piano here on Fridays", "Nobody told {} about the change", "Credit where due: {} rocks", "We met {} by chance"],
+        "de": ["Besonderer Dank gilt {}", "{} hat uns sehr nett beraten", "Der Kellner {} war unfreundlich", "Wir wurden von {} bedient", "Beschwerde ging an {}", "Laut {} war alles ausgebucht", "Gekocht hat {}", "Mit freundlichen Grüßen\n{}", "Liebe Grüße von {}", "Die Chefin, {}, kam an den Tisch", "Termin bei {} gehabt", "Ein gewisser {} legte einfach auf", "LG {}", "Am Empfang saß {}", "Meine Friseurin {} ist die beste", "Ich war mit {} aus Köln da", "Niemand hat {} informiert", "Am Klavier spielte {}", "Kompliment an {} in der Küche", "Schade, dass {} weg ist"],
+        "fr": ["Un grand merci à {} pour son accueil", "Nous avons été servis par {}", "{} nous a très bien conseillés", "J'ai parlé avec {} de la note", "Le patron, {}, est venu à table", "Bien à vous,\n{}", "Le gâteau a été fait par {}", "Adressez-vous à {}", "Le docteur {} est patient", "Signé : {}", "Selon {}, c'était complet", "{} a été désagréable avec ma mère", "Rendez-vous pris avec {}", "Une certaine {} a raccroché", "Venu avec {} et des amis", "Personne n'a prévenu {}", "Au piano, {} chaque vendredi", "Chapeau à {} en cuisine", "Dommage que {} soit partie"],
+        "es": ["Muchas gracias a {} por todo", "Nos atendieron {} y su equipo", "{} fue muy amable", "Hablé con {} sobre la cuenta", "El dueño, {}, vino a la mesa", "Atentamente,\n{}", "La tarta la hizo {}", "Según {}, estaba lleno", "Cita con {} a las diez", "Un tal {} me colgó", "Saludos de {}", "Firmado: {}", "El camarero {} era antipático", "Recomiendo a {} sin duda", "Fui con {} y unos amigos", "Nadie avisó a {}", "Al piano, {} cada viernes", "Felicidades a {} en la cocina", "El cuadro es obra de {}"],
+        "pt": ["Muito obrigado a {} pela atenção", "Fomos servidos por {}", "{} foi muito simpática", "Falei com {} sobre a conta", "O dono, {}, veio à mesa", "Atenciosamente,\n{}", "O bolo foi feito por {}", "Segundo {}, estava cheio", "Consulta com {} na terça", "Um tal de {} desligou", "Beijos, {}", "Assinado: {}", "O garçom {} era grosso", "Recomendo {} de olhos fechados", "Fui com {} e uns amigos", "Ninguém avisou {}", "Ao piano, {} toda sexta", "Nota dez para {} na cozinha", "O quadro é obra de {}"],
     },
     "phone": {
         "en": ["Best to reserve on {}", "They never pick up {}", "My number: {}", "Phone {} if it turns up", "WhatsApp {}", "Reach me at {} after six", "The line {} was dead", "Text {} to book", "({})", "Mobile {}", "Contact: {}", "They gave me {} as the hotline", "I left {} for the callback"],

@@ -3,7 +3,7 @@
 Half of the labelled texts are made up by ``pii_frames``: frames of five languages with slots, in which contexts, names
 and value forms vary freely. The other half are windows of a bounded sample of documents, where spans are recognised by
 fixed cue phrases; their values are respelt, and what stands outside the cues is trained as outside.
-``python -m pairloom.llm.pii_training DOCUMENTS [STEPS]`` trains on at most ``SAMPLE`` documents for a set number of
+``python -m pairloom.llm.pii_training DOCUMENTS [STEPS [MORE]]`` trains on at most ``SAMPLE`` documents for a set number of
 steps with a set seed and writes the weights that the operator loads; ``WORKERS`` processes share each step and their
 gradients are added in order, so a run can be repeated.
 """
@@ -174,9 +174,9 @@ def _work(pipe: object, texts: list[str], seed: int, hidden: int) -> None:
         pipe.send(model.loss(*next(batches)))
 
 
-def train(texts: list[str], steps: int, hidden: int = 40, seed: int = 7, rate: float = 0.006, workers: int = WORKERS, tell: bool = True) -> Tagger:
-    """Train for ``steps`` steps; the rate falls as they go."""
-    model = Tagger(hidden, seed=seed)
+def train(texts: list[str], steps: int, hidden: int = 40, seed: int = 7, rate: float = 0.006, workers: int = WORKERS, start: Tagger | None = None, tell: bool = True) -> Tagger:
+    """Train for ``steps`` steps, from ``start`` if given; the rate falls as they go."""
+    model = start or Tagger(hidden, seed=seed)
     adam, seen = Adam(model), 0.0
     context = multiprocessing.get_context("fork")
     ends, processes = [], []
@@ -200,14 +200,17 @@ def train(texts: list[str], steps: int, hidden: int = 40, seed: int = 7, rate: f
     return model
 
 
-def main(path: str, steps: int = 1_800) -> None:
-    """Train on a documents table and write the weights."""
+def main(path: str, steps: int = 1_600, more: int = 0) -> None:
+    """Train on a documents table and write the weights; with ``more`` go on from them for so many steps at half the rate."""
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
     random.Random(1).shuffle(texts)
-    train(texts[:SAMPLE], steps).save()
+    if more:
+        train(texts[:SAMPLE], more, seed=11, rate=0.003, start=Tagger.load()).save()
+    else:
+        train(texts[:SAMPLE], steps).save()
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(int, sys.argv[2:3]))
+    main(sys.argv[1], *map(int, sys.argv[2:4]))
