@@ -39,9 +39,10 @@ def p8_usage(spark: SparkSession, folder: str) -> DataFrame:
     return used.join(told, "pack_name").select("pack_name", "capacity", "n_containers", "n_tokens", "fullest", share.alias("used"), (F.col("n_tokens") / (F.col("alone") * F.col("capacity"))).alias("used_in_buckets"))
 
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    records = _sized(spark, folder, "source", "lang").withColumn("domain", F.lit("reviews"))
-    return mix(records, table(spark, folder, "mix_targets"))
+def _mixed(spark: SparkSession, folder: str, fill: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    domain = F.when(F.col("verified_visit"), "verified").when(~F.col("verified_visit"), "unverified").otherwise("unknown")
+    records = _sized(spark, folder, "source", "lang", "verified_visit").withColumn("domain", domain)
+    return mix(records, table(spark, folder, "mix_targets"), fill=fill)
 
 
 def p9_repeats(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,5 +55,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_usage": p8_usage, "p9_repeats": p9_repeats, "p9_shares": p9_shares}
+def p9_short(spark: SparkSession, folder: str) -> DataFrame:
+    """Budgets of all leaves for a mix of half as many tokens again as there are: what leaves lack goes to siblings first."""
+    return _mixed(spark, folder, fill=1.5)[2]
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_usage": p8_usage, "p9_repeats": p9_repeats, "p9_shares": p9_shares, "p9_short": p9_short}
 ORACLES: dict[str, str] = {}

@@ -56,9 +56,9 @@ def test_shortage_goes_to_siblings_first():
     root = tree([("d", "en", "a", 0.4, 10.0), ("d", "en", "b", 0.2, 100.0), ("d", "de", "c", 0.4, 100.0)])
     out: dict[str, float] = {}
     share_out(root, 100.0, out)
-    assert {k: round(v, 6) for k, v in out.items()} == {"a": 10.0, "b": 50.0, "c": 40.0}
+    assert {k: round(v, 6) for k, v in out.items()} == {"d/en/a": 10.0, "d/en/b": 50.0, "d/de/c": 40.0}
     share_out(root, 180.0, out)
-    assert out["a"] == 10.0 and abs(sum(out.values()) - 180.0) < 1e-6
+    assert out["d/en/a"] == 10.0 and abs(sum(out.values()) - 180.0) < 1e-6
 
 
 def docs(spark, n=4_000):
@@ -68,21 +68,36 @@ def docs(spark, n=4_000):
 
 def test_mix_meets_shares_and_caps(spark):
     targets = spark.createDataFrame([("a", 0.6, 2), ("B", 0.3, 1), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
-    repeats, shares = mix(docs(spark), targets, total=30_000)
+    repeats, shares, leaves = mix(docs(spark), targets, total=30_000)
     told = {r.source: r for r in shares.collect()}
     rows = repeats.collect()
     assert len(rows) == 4_000 and {r.repeats for r in rows if r.source in ("c", None)} == {0}
     assert max(r.repeats for r in rows if r.source == "a") <= 2 and max(r.repeats for r in rows if r.source == "b") <= 1
     for s in ("a", "b"):
-        assert abs(told[s].tokens_taken - told[s].budget) <= 17 and told[s].budget - told[s].tokens_taken >= -1e-6
+        assert abs(told[s].tokens_taken - told[s].budget) <= 17
+    by_leaf = leaves.collect()
+    assert {(r.domain, r.lang, r.source) for r in by_leaf} == {("x", lang, s) for lang in ("en", "de") for s in "ab"} and all(abs(r.budget - r.tokens_taken) <= 9 for r in by_leaf)
     assert told["absent"].tokens_taken == 0 and abs(sum(r.actual_share for r in told.values()) - 1) < 1e-9
     again = {r.doc_id: r.repeats for r in mix(docs(spark).repartition(3), targets, total=30_000)[0].collect()}
     assert again == {r.doc_id: r.repeats for r in rows}
+    for small in (10, 100):
+        assert again == {r.doc_id: r.repeats for r in mix(docs(spark), targets, total=30_000, small=small)[0].collect()}
     largest = {r.source: r for r in mix(docs(spark), targets.filter("source <> 'absent'"))[1].collect()}
     assert abs(largest["a"].actual_share - 2 / 3) < 0.01
     assert mix(docs(spark).limit(0), targets)[0].count() == 0
 
 
+def test_a_short_leaf_is_made_up_by_its_siblings(spark):
+    rows = [(i, s, lang, 10) for i, (s, lang) in enumerate([("a", "en")] * 10 + [("b", "en")] * 100 + [("a", "de")] * 10 + [("c", "de")] * 100)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long").withColumn("domain", F.lit("x"))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.25, 1)], "source string, target_share double, max_repeats int")
+    got = {(r.lang, r.source): (r.budget, r.tokens_taken) for r in mix(records, targets, total=1_000)[2].collect()}
+    # each language keeps its half: what a lacks there goes to its one sibling
+    assert got == {("en", "a"): (100.0, 100), ("en", "b"): (400.0, 400), ("de", "a"): (100.0, 100), ("de", "c"): (400.0, 400)}
+    filled = {(r.lang, r.source): r.budget for r in mix(records, targets, fill=1.0)[2].collect()}
+    assert sum(filled.values()) == 2_200.0
+
+
 def test_token_counts(spark):
     text = "Hello, wörld! " * 3_000
     df = spark.createDataFrame([(1, "Hello"), (2, None), (3, ""), (4, text)], "i int, t string")
