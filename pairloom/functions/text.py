@@ -13,9 +13,16 @@ STREET_WORDS = (
     ("ct", "court"), ("pl", "place"), ("sq", "square"), ("pkwy", "parkway"), ("cir", "circle"), ("hwy", "highway"),
 )
 
+#: The patterns of a URL, a phone and a street in page text.
 URL = r"https?://[^\s\]\"'}>,]+"
-PHONE = r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
-STREET = r"(?i)\d+\s+[\w\s.]+?\b(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|court|ct|place|pl|way)\b\.?"
+PHONE = r"(?:\+?1?[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}(?![\p{L}\p{N}_])"
+STREET = r"(?iU)\d+\s+[\w\s]+(?:street|st|avenue|ave|blvd|road|rd|drive|dr|lane|ln|court|ct)\b[\w\s,]*"
+
+#: Marks of a country in upper-case address text, in the order they are tried.
+REGIONS = {
+    "US": (" UNITED STATES", " USA", " U.S."), "CA": (" CANADA", " CAN", " ON ", " BC ", " AB ", " QB "),
+    "GB": (" UNITED KINGDOM", " UK", " GB ", " ENGLAND", " SCOTLAND"),
+}
 
 #: Postal abbreviations of the United States.
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
@@ -150,7 +157,7 @@ def with_scheme(c: Column, scheme: str = "https://") -> Column:
 
 def significant_words(c: Column) -> Column:
     """Words of more than two letters."""
-    return F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: F.length(w) > 2)
+    return F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_\s\x85\p{Z}]", " "), r"(?U)\s+"), lambda w: F.length(w) > 2)
 
 
 def page_has_name(page: Column, name: Column) -> Column:
@@ -169,13 +176,13 @@ def html_text(c: Column) -> Column:
 
 
 def first_phone(c: Column) -> Column:
-    """First number of the North American shape; empty without one."""
-    return F.coalesce(F.regexp_extract(c, PHONE, 0), F.lit(""))
+    """First number of the North American shape, a country prefix with it; empty without one."""
+    return stripped(F.coalesce(F.regexp_extract(c, PHONE, 0), F.lit("")))
 
 
 def first_street(c: Column) -> Column:
     """First house number with words up to a street word; empty without one."""
-    return F.trim(F.coalesce(F.regexp_extract(c, STREET, 0), F.lit("")))
+    return stripped(F.coalesce(F.regexp_extract(c, STREET, 0), F.lit("")))
 
 
 def json_ld(c: Column) -> Column:
@@ -217,11 +224,10 @@ def address_parts(c: Column) -> Column:
 def region_of(c: Column) -> Column:
     """Country a phone would be read in, told from the address text."""
     text = F.upper(F.coalesce(c, F.lit("")))
-    names = (("US", ("UNITED STATES", " USA", ", US")), ("CA", ("CANADA", ", CA,", " CAN")), ("GB", ("UNITED KINGDOM", " UK", ", GB")))
     out = F.lit(None).cast("string")
-    for region, forms in reversed(names):
+    for region, forms in reversed(REGIONS.items()):
         out = F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(f)) for f in forms]), region).otherwise(out)
-    return F.coalesce(out, F.when(F.regexp_like(text, F.lit(r"\b(?:" + "|".join(STATES) + r")\b")), "US"))
+    return F.coalesce(out, F.when(F.regexp_like(text, F.lit(r"(?U)\b(?:" + "|".join(STATES) + r")\b")), "US"))
 
 
 def phone_e164(c: Column, region: Column | None = None) -> Column:
@@ -243,7 +249,7 @@ def phone_is_valid(c: Column, region: Column | None = None) -> Column:
 def address_score(c: Column) -> Column:
     """0 to 3: digits, a street word, a state or postcode; 0 for very short text."""
     text = F.coalesce(c, F.lit(""))
-    marks = [r"\d", r"(?i)\b(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|way)\b", r"\b[A-Z]{2}\b|\b\d{5}(?:-\d{4})?\b"]
+    marks = [r"\d", r"(?i)\b(?:st|street|ave|avenu|road|rd|blvd|dr)\b", r"\b[A-Z]{2}\b|\b\d{5}(?:-\d{4})?\b"]
     return F.when(F.length(F.trim(text)) < 5, 0).otherwise(reduce(lambda a, b: a + b, [F.regexp_like(text, F.lit(m)).cast("int") for m in marks]))
 
 

@@ -84,7 +84,7 @@ def _lookup(values: dict[str, object], key: Column, kind: str) -> Column:
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01 of a proleptic Gregorian date, by integers alone; years from 0 on."""
     def div(a: Column, b: int) -> Column:
-        return F.floor(a / F.lit(b)).cast("bigint")
+        return F.call_function("div", a.cast("bigint"), F.lit(b).cast("bigint"))  # no operand is negative for years from 0 on
 
     shifted = y - F.when(m <= 2, 1).otherwise(0)
     era = div(shifted, 400)

@@ -14,9 +14,9 @@ def with_suffixes(left: DataFrame, right: DataFrame, key: str, left_suffix: str
     return a.join(b, key, how)
 
 
-def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, into: str, default: object = None) -> DataFrame:
-    """``df`` with a value by key; of repeated keys the greatest value counts."""
-    once = table.groupBy(key).agg(F.max(value).alias("__v"))
+def looked_up(df: DataFrame, table: DataFrame, key: str, value: str, into: str, default: object = None, order: str | None = None) -> DataFrame:
+    """``df`` with a value by key; of repeated keys the last by ``order`` counts, without one the greatest value."""
+    once = table.groupBy(key).agg((F.max_by(value, order) if order else F.max(value)).alias("__v"))
     joined = df.join(once, key, "left")
     return joined.withColumn(into, F.coalesce("__v", F.lit(default)) if default is not None else F.col("__v")).drop("__v")
 

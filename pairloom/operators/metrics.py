@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.labels import plain
+from pairloom.session import cut_lineage
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -112,23 +113,35 @@ def best_threshold(sweep: DataFrame, metric: str) -> DataFrame:
     return sweep.orderBy(F.col(metric).desc(), F.col("threshold")).limit(1)
 
 
-def precision_recall_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, precision, recall, f1) at every distinct score.
+def running_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``df`` with run_{c}, the sum of each column up to and with a row, and all_{c}, over rows of distinct ``order``.
 
-    Rows are summed by score before the running window; it runs over distinct scores only.
+    Rows are put into ranges of ``order``; sums run within a range and start at the totals of the ranges before, so no
+    task sees more than its range however many rows there are.
     """
-    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("all"))
-    down = Window.orderBy(F.col("threshold").desc())
-    run = by.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("all").over(down).alias("said"), F.sum("pos").over(Window.partitionBy()).alias("support"))
-    tp, said, support = F.col("tp"), F.col("said"), F.col("support")
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    ranged = cut_lineage(df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = totals.select("__range", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in columns], *[F.sum(f"__t_{c}").over(every).alias(f"all_{c}") for c in columns])
+    within = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(starts), "__range")
+    return joined.withColumns({f"run_{c}": F.sum(c).over(within) + F.col(f"__b_{c}") for c in columns}).drop("__range", *[f"__b_{c}" for c in columns])
+
+
+def precision_recall_curve(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(threshold, precision, recall, f1) at every distinct score."""
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
+    run = running_sums(by, "threshold", ["pos", "n"], descending=True)
+    tp, said, support = F.col("run_pos"), F.col("run_n"), F.col("all_pos")
     return run.select("threshold", _share(tp, said).alias("precision"), _share(tp, support).alias("recall"), _f1(tp, said - tp, support - tp).alias("f1"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(auc): the rank sum form, ties counting half."""
-    by = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    up = Window.orderBy(score)
-    run = by.select("pos", "neg", (F.sum("neg").over(up) - F.col("neg")).alias("below"))
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    run = running_sums(by, "s", ["neg"]).withColumn("below", F.col("run_neg") - F.col("neg"))
     sums = run.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(F.try_divide("wins", F.col("p") * F.col("n")).alias("auc"))
 

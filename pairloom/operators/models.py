@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.labels import label_2class, label_3class, label_4class
+from pairloom.operators.sampling import stratified_folds
 from pairloom.schemas import ATTRIBUTES, FOUR_CLASSES
-from pairloom.session import use_shared_checkpoints
+from pairloom.session import cut_lineage, use_shared_checkpoints
 
 
 def numeric(df: DataFrame, features: list[str]) -> DataFrame:
@@ -109,11 +111,62 @@ def aggregate_attributes(df: DataFrame, suffix: str) -> DataFrame:
     return df.withColumns({f"label_4class{suffix}": label_4class(suffix), f"label_3class{suffix}": label_3class(suffix), f"label_2class{suffix}": label_2class(suffix)})
 
 
-def blend(first: Column, second: Column, weight: float = 0.8) -> Column:
+def blend(first: Column, second: Column, weight: float | Column = 0.8) -> Column:
     """Weighted mean of two probabilities."""
     return first * weight + second * (1 - weight)
 
 
+def sigmoid(c: Column, most: float = 30.0) -> Column:
+    """1 / (1 + e^-x), x kept within ``most`` of 0."""
+    return 1 / (1 + F.exp(-F.greatest(F.least(c, F.lit(most)), F.lit(-most))))
+
+
+def log_odds(c: Column, least: float = 1e-6) -> Column:
+    """log(p / (1 - p)), p kept ``least`` off 0 and 1."""
+    p = F.greatest(F.least(c, F.lit(1 - least)), F.lit(least))
+    return F.log(p / (1 - p))
+
+
+def out_of_fold(df: DataFrame, key: str, features: list[str], label: Column, classes: tuple[str, ...], classifiers: dict[str, Callable[[], object]], k: int = 5, seed: int = 42, **weights: object) -> DataFrame:
+    """``df`` with fold, label and {name}_pred, {name}_proba_{class} of every classifier, each row by models that never saw it."""
+    rows = numeric(df, features).withColumn("label", label).filter(F.col("label").isin(*classes))
+    rows = cut_lineage(stratified_folds(rows, key, "label", k, seed))
+    parts = []
+    for fold in range(k):
+        rest, held = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+        for name, made in classifiers.items():
+            held = predict(fit(rest, features, F.col("label"), classes, made(), **weights), held, features, classes, name)
+        parts.append(held)
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def blend_sweep(held: DataFrame, first: str, second: str, positive: str, weights: list[float], cuts: list[float]) -> DataFrame:
+    """(weight, cut, n, accuracy) of blended out-of-fold probabilities of ``positive`` against the column label."""
+    grid = F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(c).alias("cut")) for w in weights for c in cuts])
+    rows = held.select("label", F.col(f"{first}_proba_{positive}").alias("a"), F.col(f"{second}_proba_{positive}").alias("b"), F.explode(grid).alias("g")).select("label", "a", "b", "g.*")
+    right = (blend(F.col("a"), F.col("b"), F.col("weight")) >= F.col("cut")) == (F.col("label") == positive)
+    return rows.groupBy("weight", "cut").agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
+
+def grid_search(df: DataFrame, key: str, features: list[str], label: Column, classes: tuple[str, ...], grid: dict[str, Callable[[], object]], k: int = 3, **weights: object) -> DataFrame:
+    """(name, n, accuracy, balanced_accuracy) of every point of a grid by out-of-fold predictions, best first."""
+    held = out_of_fold(df, key, features, label, classes, grid, k, **weights)
+    said = held.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_pred").alias("pred")) for n in grid])).alias("s")).select("label", "s.*")
+    by = said.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("pred")).cast("int")).alias("hits"))
+    out = by.groupBy("name").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy"))
+    return out.orderBy(F.col("balanced_accuracy").desc(), "name")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a folder, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A model that ``save`` wrote, for ``predict`` alone."""
+    return PipelineModel.load(path)
+
+
 def nearest_neighbours(queries: DataFrame, data: DataFrame, key: str, vector: str, label: str, k: int = 11, max_queries: int = 10_000) -> DataFrame:
     """(key, mean_label, nearest): the mean label of the k nearest rows by Euclidean distance.
 
@@ -160,4 +213,7 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, (float(v) for v in values), strict=True), key=lambda x: (-abs(x[1]), x[0]))
 
 
-__all__ = ["aggregate_attributes", "balanced", "blend", "boosted", "fit", "fit_per_attribute", "forest", "importances", "logistic", "nearest_neighbours", "numeric", "one_vs_rest", "predict", "predict_per_attribute", "stump"]
+__all__ = [
+    "aggregate_attributes", "balanced", "blend", "blend_sweep", "boosted", "fit", "fit_per_attribute", "forest", "grid_search", "importances", "load", "log_odds", "logistic", "nearest_neighbours", "numeric",
+    "one_vs_rest", "out_of_fold", "predict", "predict_per_attribute", "save", "sigmoid", "stump",
+]

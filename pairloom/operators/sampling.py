@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from pairloom.functions.labels import label_3class, label_4class
 from pairloom.functions.text import locality_and_postcode, primary
 from pairloom.schemas import ATTRIBUTES
+from pairloom.session import cut_lineage
 
 
 def seeded(seed: int, *keys: str | Column) -> Column:
-    """A hash that orders rows at random but always alike."""
-    return F.xxhash64(*[F.col(k) if isinstance(k, str) else k for k in keys], F.lit(seed))
+    """60 bits of an md5 that order rows at random but always alike, here and in any other engine."""
+    text = F.concat_ws("\u0001", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -47,6 +49,21 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int
     return df.withColumn("__slice", part).withColumn("fold", ((F.row_number().over(window) - 1 + F.col("__slice")) % k).cast("int")).drop("__slice")
 
 
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42, slices: int = 64) -> DataFrame:
+    """``df`` with is_test: of every class the same share of rows, rounded to the nearest row.
+
+    A row's rank in its class is its rank within a slice of the class plus the counts of the slices before, so no class
+    is one task.
+    """
+    rows = df.withColumn("__slice", F.pmod(seeded(seed, key), F.lit(slices)))
+    counts = rows.groupBy(F.col(label).alias("__label"), "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__label").orderBy("__slice")) - F.col("__n")  # one row per class and slice
+    counts = counts.select("__label", F.col("__slice").alias("__s"), before.alias("__before"), F.sum("__n").over(Window.partitionBy("__label")).alias("__all"))
+    rank = F.row_number().over(Window.partitionBy(label, "__slice").orderBy(seeded(seed + 1, key), key)) - 1
+    ranked = rows.withColumn("__rank", rank).join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__slice") == F.col("__s")), "left")
+    return ranked.withColumn("is_test", F.col("__rank") + F.col("__before") < F.round(F.col("__all") * share)).drop("__slice", "__label", "__s", "__before", "__all", "__rank")
+
+
 def hash_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with is_test: a share of rows by hash, alike in all classes on average; needs no shuffle."""
     return df.withColumn("is_test", F.pmod(seeded(seed, key), F.lit(10_000)) < int(share * 10_000))
@@ -59,22 +76,29 @@ def _side(df: DataFrame, base: bool) -> DataFrame:
     return rows.distinct()
 
 
-def random_negatives(df: DataFrame, n: int = 5_000, seed: int = 42, tries: int = 4) -> DataFrame:
-    """(id, base_id): pairs of places of different towns or postcodes.
+def random_negatives(df: DataFrame, n: int = 5_000, seed: int = 42) -> DataFrame:
+    """(id, base_id): ``n`` pairs of places of different towns or postcodes, or all there are if they are fewer.
 
-    A bounded sample of each side is numbered by hash and joined number to number with several shifts, so there is no
-    cross join; pairs that happen to agree are dropped.
+    A bounded sample of each side is numbered by hash. Number i of one side meets number i + turn of the other, round
+    and round, for as many turns as it takes, so there is no cross join and no pair comes twice; pairs that happen to
+    agree are dropped.
     """
     def numbered(base: bool, name: str) -> DataFrame:
         some = _side(df, base).orderBy(seeded(seed + base, "id"), "id").limit(n)
         order = Window.partitionBy("__g").orderBy(seeded(seed + base, "id"), "id")  # at most n rows
-        return some.withColumn("__g", F.lit(0)).withColumn("row", F.row_number().over(order)).select(F.col("id").alias(name), F.col("place").alias(f"place_{name}"), "row")
-
-    left = numbered(False, "id").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    left = left.withColumn("want", (F.col("row") + F.col("turn") * 7919) % n + 1)
-    right = numbered(True, "base_id").withColumnRenamed("row", "want")
-    pairs = left.join(right, "want").filter((F.col("id") != F.col("base_id")) & ((F.col("place_id.locality") != F.col("place_base_id.locality")) | (F.col("place_id.postcode") != F.col("place_base_id.postcode"))))
-    return pairs.select("id", "base_id", seeded(seed, "id", "base_id").alias("h")).distinct().orderBy("h", "id", "base_id").limit(n).drop("h")
+        return cut_lineage(some.withColumn("__g", F.lit(0)).withColumn("row", F.row_number().over(order) - 1).select(F.col("id").alias(name), F.col("place").alias(f"place_{name}"), "row"))
+
+    left, right = numbered(False, "id"), numbered(True, "base_id").withColumnRenamed("row", "want")
+    n_left, n_right = left.count(), right.count()
+    turns = min(n_right, -(-5 * n // (4 * max(n_left, 1))) + 1) if n_left else 0
+    while True:
+        turn = left.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))) if turns else left.withColumn("turn", F.lit(0)).limit(0)
+        pairs = turn.withColumn("want", ((F.col("row") + F.col("turn")) % max(n_right, 1)).cast("int")).join(right, "want")
+        pairs = pairs.filter((F.col("id") != F.col("base_id")) & ((F.col("place_id.locality") != F.col("place_base_id.locality")) | (F.col("place_id.postcode") != F.col("place_base_id.postcode"))))
+        found = cut_lineage(pairs.select("id", "base_id", "turn", seeded(seed, "id", "base_id").alias("h")).distinct())
+        if turns >= n_right or found.select("id", "base_id").distinct().count() >= n:
+            return found.groupBy("id", "base_id").agg(F.min("h").alias("h")).orderBy("h", "id", "base_id").limit(n).select("id", "base_id")
+        turns = min(n_right, turns * 2)
 
 
 def hard_negatives(df: DataFrame, names: int = 1_000, seed: int = 42, shortest: int = 4) -> DataFrame:

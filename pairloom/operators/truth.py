@@ -107,8 +107,9 @@ def rule_based_truth(df: DataFrame, prefer_alt: bool = True) -> DataFrame:
 
 
 def external_truth(df: DataFrame, truth: DataFrame, keys: list[str], source: str, allow_fallback: bool = True) -> DataFrame:
-    """Truth looked up in a table (keys, phone, web, category, address); of repeated keys the first in order counts."""
-    once = truth.groupBy(*keys).agg(*[F.min(a).alias(f"_real_{a}") for a in TRUTH_ATTRIBUTES])
+    """Truth looked up in a table (keys, phone, web, category, address); of repeated keys the first whole row in order counts."""
+    first = truth.groupBy(*keys).agg(F.min(F.struct(*TRUTH_ATTRIBUTES)).alias("_first"))
+    once = first.select(*keys, *[F.col(f"_first.{a}").alias(f"_real_{a}") for a in TRUTH_ATTRIBUTES])
     joined = df.join(once, keys, "left")
     real = {a: _text(F.col(f"_real_{a}")) for a in TRUTH_ATTRIBUTES}
     return compare_rows(joined, real, source, allow_fallback).drop(*[f"_real_{a}" for a in TRUTH_ATTRIBUTES])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_places", "q_labels", "q_text", "q_tables")
+MODULES = ("q_places", "q_labels", "q_text", "q_tables", "q_checks")
 
 
 def gather(package: str, modules: tuple[str, ...]) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:

@@ -114,7 +114,7 @@ QUERIES = {
     "content_flags": _over("project_a_samples", loose=lambda: tx.has_content(F.col("socials")), strict=lambda: tx.has_content(F.col("socials"), True)),
     "locality_postcode": _over("project_a_samples", locality=lambda: tx.locality_and_postcode(F.col("addresses"))["locality"], postcode=lambda: tx.locality_and_postcode(F.col("addresses"))["postcode"]),
     "address_parts": _over("phase1_processed", num=lambda: tx.address_parts(F.col("norm_conflated_addr"))["num"], unit=lambda: tx.address_parts(F.col("norm_conflated_addr"))["unit"], street=lambda: tx.address_parts(F.col("norm_conflated_addr"))["street"]),
-    "address_score": _over("phase1_processed", score=lambda: tx.address_score(F.col("norm_conflated_addr")), parts=lambda: tx.address_completeness(F.col("addresses"))),
+    "address_score": _over("phase1_processed", score=lambda: tx.address_score(F.col("norm_conflated_addr"))), "address_filled": _over("phase1_processed", parts=lambda: tx.address_completeness(F.col("addresses"))),
     "phone_regions": _over("phase1_processed", region=lambda: tx.region_of(F.col("norm_conflated_addr")), e164=lambda: tx.phone_e164(F.col("norm_conflated_phone"), F.coalesce(tx.region_of(F.col("norm_conflated_addr")), F.lit("US")))),
     "phone_winners": _over("golden_dataset_200", winner=lambda: tr.phone_winner(F.col("norm_base_phone"), F.col("norm_conflated_phone"), F.lit("US"), F.lit("US"))["winner"]),
     "address_winners": _over("golden_dataset_200", winner=lambda: tr.address_winner(F.col("base_addresses"), F.col("addresses"))),
@@ -153,7 +153,6 @@ ORACLES = {
     "content_flags": "SELECT id, coalesce(length(socials) > 0, false) AS loose, coalesce(lower(trim(socials)) NOT IN ('', 'nan', 'none', '{}', '[]', 'null'), false) AS strict FROM project_a_samples",
     "locality_postcode": f"SELECT id, {_LOC.format('locality')} AS locality, {_LOC.format('postcode')} AS postcode FROM project_a_samples",
     "cache_keys": "SELECT id, md5('website:' || coalesce(websites, '')) AS key FROM project_a_samples",
-    "first_phone": "SELECT doc_id, coalesce(regexp_extract(text, '\\(?[0-9]{3}\\)?[-.\\s]?[0-9]{3}[-.\\s]?[0-9]{4}', 0), '') AS phone FROM documents",
     "model_answers": "SELECT id, " + ", ".join(f"CASE WHEN lower(trim(attr_{a}_winner)) IN ('base','alt','both','none') THEN lower(trim(attr_{a}_winner)) ELSE 'none' END AS attr_{a}_winner" for a in ("name", "phone", "web", "address", "category")) + ", CASE WHEN lower(trim(golden_label)) IN ('base','alt') THEN lower(trim(golden_label)) ELSE 'abstain' END AS golden_label, coalesce(slm_reason, '') AS slm_reason FROM phase3_slm_labeled",
     "sim_ratio": "SELECT id, round(addr_similarity_ratio, 6) AS addr, round(website_similarity, 6) AS web FROM phase1_processed", "sim_token_sort": "SELECT id, round(addr_token_sort, 6) AS addr FROM phase1_processed",
     "sim_jaccard": f"SELECT id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) END, 6) AS addr FROM (SELECT id, {_TOKENS.format('norm_conflated_addr')} AS x, {_TOKENS.format('norm_base_addr')} AS y FROM phase1_processed)",
