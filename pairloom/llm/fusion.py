@@ -47,6 +47,9 @@ GOLDEN = {"phones": "attr_phone_winner", "addresses": "attr_address_winner"}
 #: Calling codes of one or two digits; all others have three.
 CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 
+#: Pairs of voters that one task counts in each round of learning; more are spread.
+ONE_TASK = 100_000
+
 #: Order of missing instants and confidences.
 NO_INSTANT, NO_CONFIDENCE = -(2**62), -1e300
 
@@ -199,6 +202,9 @@ def learn_sources(claimed: DataFrame, tolerance: float = 1e-3, most_rounds: int
     by_voters = claimed.groupBy("base_id", "field_name", "voters").agg(F.count(F.lit(1)).cast("int").alias("m"))
     patterns = by_voters.groupBy("base_id", "field_name").agg(F.sort_array(F.collect_list(F.struct("voters", "m"))).alias("pattern"))
     patterns = cut_lineage(patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    pairs = F.aggregate("pattern", F.lit(0), lambda s, p: s + F.size(p["voters"])).cast("double")
+    if (patterns.agg(F.sum(pairs * pairs)).first()[0] or 0.0) <= ONE_TASK:
+        patterns = patterns.coalesce(1)  # then a round has nothing to shuffle
     model = Sources({}, {})
     for _ in range(most_rounds):
 

@@ -84,3 +84,53 @@ def test_mining_ends_when_nothing_is_new(spark):
         rows += [("gb", f"x{k} y{k}", f"xx{k} yy{k}", 5), ("gb", f"x{k + 1} y{k}", f"xx{k + 1} yy{k}", 5), ("gb", f"xx{k} yy{k}", f"xx{k} yy{k}", 20), ("gb", f"xx{k + 1} yy{k}", f"xx{k + 1} yy{k}", 20)]
     got = mine_rewrites(spark.createDataFrame(rows, "country string, a_street string, b_street string, n long"))
     assert got == {("gb", "f", f"x{k}"): f"xx{k}" for k in range(6)} | {("gb", "l", f"y{k}"): f"yy{k}" for k in range(5)}
+
+
+def test_towns_against_rule(spark):
+    """Countries and towns from small and from large gazetteers against the rule written out."""
+    from collections import Counter
+
+    from pairloom.llm.addresses import LOOKUPS, with_towns
+
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        some = lambda *x: rng.choice(["", *x])
+        rows.append((k, k, some("alder st", "birch rd", "cedar ln"), some("upton", "newby", "hamm"), some("e", "w"), some("11111", "22222", "ab12cd"), some("gb", "gb", "us", "de"), rng.randrange(1, 6)))
+    names = ("k1", "k2", "street", "name", "region", "postcode", "country", "n")
+    made = [dict(zip(names, r, strict=True)) for r in rows]
+    for m in made:
+        m |= {"head": m["street"].split(" ")[0], "tail": m["street"][-3:]}
+    told = [dict(m) for m in made if m["country"]]
+    known = Counter()
+    for m in told:
+        known[m["country"], m["name"]] += m["n"] * bool(m["name"])
+    want = {m["k1"]: m for m in made}
+    for keys, value, share in LOOKUPS:
+        counts: dict[tuple, Counter] = {}
+        for m in told:
+            if m[value] and all(m[k] for k in keys):
+                counts.setdefault(tuple(m[k] for k in keys), Counter())[m[value]] += m["n"]
+        for m in want.values():
+            c = counts.get(tuple(m[k] for k in keys), Counter())
+            best, n = max(((v, n) for v, n in c.items()), key=lambda x: (x[1], x[0]), default=("", 0))
+            found = best if n >= share * sum(c.values()) else ""
+            if value == "country":
+                m["country"] = m["country"] or found
+            else:
+                m["guess"] = found
+    town = lambda m: m["name"] if m["name"] and known[m["country"], m["name"]] >= 3 else m["guess"] or m["name"]
+    want = {k: (m["country"], f"{town(m)}|{m['country']}" if town(m) else "") for k, m in want.items()}
+    mentions = spark.createDataFrame(rows, "k1 long, k2 long, street string, name string, region string, postcode string, country string, n long")
+    for most in (200_000, 0):
+        assert {r.k1: (r.country, r.town) for r in with_towns(mentions, most).collect()} == want
+    assert len({t for _, t in want.values()}) > 5 and any(c and not r[6] for r, (c, _) in zip(rows, want.values(), strict=True))
+
+
+def test_few_shuffles(spark):
+    """Every shuffle is a plan and a thread of the driver, whatever the size of the table."""
+    from pairloom.llm.addresses import located
+
+    context = spark.sparkContext._jsc.sc()
+    before = context.newShuffleId()
+    assert located(town(spark), ("id", "addresses"), ("base_id", "base_addresses")).said().count() > 160
+    assert context.newShuffleId() - before <= 50

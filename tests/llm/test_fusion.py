@@ -117,3 +117,16 @@ def test_five_hundred_sources(spark):
     dups = duplicates(spark.createDataFrame(rows, SCHEMA), feeds(spark), golden(spark))
     got = survivors(dups).collect()
     assert len(got) == 1 and got[0].id == "v299" and 0.99 < got[0].posterior <= 1.0
+
+
+def test_rounds_of_few_patterns_shuffle_nothing(spark, monkeypatch):
+    rows = [(f"b{b}", "websites", v, [f"s{(b * 3 + v + k) % 7}" for k in range(1 + (b + v) % 3)]) for b in range(60) for v in range(2)]
+    claimed = spark.createDataFrame(rows, "base_id string, field_name string, key long, voters array<string>")
+    context = spark.sparkContext._jsc.sc()
+    before = context.newShuffleId()
+    model = learn_sources(claimed)
+    assert context.newShuffleId() - before <= 6
+    monkeypatch.setattr("pairloom.llm.fusion.ONE_TASK", 0)
+    spread = learn_sources(claimed)
+    assert len(model.accuracy) == 7 and all(abs(a - spread.accuracy[s]) < 1e-9 for s, a in model.accuracy.items())
+    assert all(abs(p - spread.depends[k]) < 1e-9 for k, p in model.depends.items()) and len(model.depends) == len(spread.depends)
